@@ -23,9 +23,37 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(_t(spark, d, "parse_entries"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import terms
+
+    return terms.p5_found(_t(spark, d, "parse_entries"))
+
+
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import terms
+
+    return terms.p5_terms(_t(spark, d, "parse_entries"))
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import terms
+
+    return terms.value_counts(_t(spark, d, "parse_entries"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import tokens
+
+    return tokens.p7_ids(_t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p5_found": p5_found,
+    "p5_terms": p5_terms,
+    "p5_values": p5_values,
+    "p7_ids": p7_ids,
 }
 
 
