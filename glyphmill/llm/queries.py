@@ -47,6 +47,18 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.p7_ids(_t(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import spans
+
+    return spans.p9_found(_t(spark, d, "documents"))
+
+
+def p9_shared_amount(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import spans
+
+    return spans.shared_amount(_t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -54,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_terms": p5_terms,
     "p5_values": p5_values,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_shared_amount": p9_shared_amount,
 }
 
 
