@@ -47,6 +47,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.p7_ids(_t(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import leaks
+
+    return leaks.p8_found(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from glyphmill.llm import spans
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_terms": p5_terms,
     "p5_values": p5_values,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_shared_amount": p9_shared_amount,
 }
