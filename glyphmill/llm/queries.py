@@ -41,6 +41,18 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return terms.value_counts(_t(spark, d, "parse_entries"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import lookalikes
+
+    return lookalikes.p6_found(_t(spark, d, "parse_entries"))
+
+
+def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import lookalikes
+
+    return lookalikes.canonical_texts(_t(spark, d, "parse_entries"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from glyphmill.llm import tokens
 
@@ -71,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p5_values": p5_values,
+    "p6_found": p6_found,
+    "p6_canonical": p6_canonical,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
