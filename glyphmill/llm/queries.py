@@ -23,6 +23,18 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(_t(spark, d, "parse_entries"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import sentences
+
+    return sentences.p3_found(_t(spark, d, "parse_entries"))
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import sentences
+
+    return sentences.sentences(_t(spark, d, "parse_entries"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from glyphmill.llm import terms
 
@@ -80,6 +92,8 @@ def p9_shared_amount(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p3_found": p3_found,
+    "p3_sentences": p3_sentences,
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p5_values": p5_values,
