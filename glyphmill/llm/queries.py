@@ -35,6 +35,18 @@ def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(_t(spark, d, "parse_entries"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import mojibake
+
+    return mojibake.p4_found(_t(spark, d, "parse_entries"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import mojibake
+
+    return mojibake.garbled(_t(spark, d, "parse_entries")).select("entry_id", "chain", "posterior", "repaired")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from glyphmill.llm import terms
 
@@ -94,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_collapsed": p1_collapsed,
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p5_values": p5_values,
