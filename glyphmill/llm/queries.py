@@ -23,6 +23,12 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(_t(spark, d, "parse_entries"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import langid
+
+    return langid.p2_found(_t(spark, d, "parse_entries"), _t(spark, d, "languages"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from glyphmill.llm import sentences
 
@@ -104,6 +110,7 @@ def p9_shared_amount(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,
     "p4_found": p4_found,
