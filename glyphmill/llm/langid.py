@@ -35,16 +35,16 @@ from pyspark.sql import functions as F
 from glyphmill.llm.mojibake import _folded, unmixed
 from glyphmill.llm.sentences import sentence_spans
 
-PER_LANGUAGE = 1200
-WINDOW, STRIDE, TRAINED = 96, 72, 72
+PER_LANGUAGE = 1000
+WINDOW, STRIDE, TRAINED = 96, 72, 64
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 40, 8
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.004, 7
+EPOCHS, BATCH, RATE, SEED = 5, 64, 0.004, 7
 SWITCH, FLOOR, LABEL_BONUS, SHORT = 3.0, -12.0, 0.7, 18
 MEMO = 150_000
 #: Fewest trusted rows that make a language known.
 LEAST = 20
 
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile("[0-9]+")
 _DROP = re.compile(r"\\[nrt\"]|\[\w+\]|\{\w*\}|\s+")
 
 
@@ -52,10 +52,16 @@ def normal(text: str) -> bytes:
     """Bytes that are classified: letters in lower case, numbers as one digit, single spaces."""
     t = _DIGITS.sub("0", _DROP.sub(" ", text))
     if not t.isascii():
-        t = unmixed("".join(map(_folded, t)))
+        t = " ".join([w if w.isascii() else _word(w) for w in t.split(" ")])
     return t.lower().strip().encode("utf-8")
 
 
+@lru_cache(maxsize=100_000)
+def _word(word: str) -> str:
+    """A word with uniform width and look-alikes put into its own script."""
+    return unmixed("".join(map(_folded, word)))
+
+
 def windows(raw: bytes) -> list[bytes]:
     if len(raw) <= WINDOW:
         return [raw]
@@ -197,7 +203,7 @@ def train(rows: list[tuple[str, str]]) -> ByteCnn | None:
         return None
     parts, labels = [], []
     for c, text in rows:
-        for w in windows(normal(text))[:3]:
+        for w in windows(normal(text))[:2]:
             parts.append(w)
             labels.append(langs.index(c))
     x, y = np.ascontiguousarray(to_matrix(parts)[:, :TRAINED]), np.array(labels)
@@ -206,13 +212,9 @@ def train(rows: list[tuple[str, str]]) -> ByteCnn | None:
     return ByteCnn(langs).fit(x[agreed], y[agreed])
 
 
-@lru_cache(maxsize=1)
-def _letters():
-    import regex
-
-    every = regex.compile(r"\p{L}").findall
-    plain = re.compile("[A-Za-z]").findall
-    return lambda t: len(plain(t)) if t.isascii() else len(every(t))
+def letters(text: str) -> int:
+    """Number of letters (Unicode L)."""
+    return sum(map(str.isalpha, text))
 
 
 def best_path(logs, weights: list[float], bonus) -> list[int]:
@@ -238,6 +240,7 @@ class Labeller:
     def __init__(self, model: ByteCnn):
         self.model = model
         self.memo: dict[bytes, object] = {}
+        self.known: dict[tuple[str, str | None], list[tuple[int, str, float]]] = {}
         self.index = {c: i for i, c in enumerate(model.langs)}
 
     def classify(self, raws: list[bytes]) -> None:
@@ -250,15 +253,17 @@ class Labeller:
         logs = self.model.log_probabilities(to_matrix([w for p in parts for w in p]))
         at = 0
         for r, p in zip(new, parts):
-            share = np.array([len(w) for w in p], np.float32)
-            self.memo[r] = (logs[at : at + len(p)] * (share / max(1, share.sum()))[:, None]).sum(0)
+            if len(p) == 1:
+                self.memo[r] = logs[at]
+            else:
+                share = np.array([len(w) for w in p], np.float32)
+                self.memo[r] = (logs[at : at + len(p)] * (share / max(1, share.sum()))[:, None]).sum(0)
             at += len(p)
 
     def segments(self, values: list[str], hints: list[str | None]) -> list[list[tuple[int, str, float]]]:
         """(start, language, confidence) of the segments of each value."""
         import numpy as np
 
-        letters = _letters()
         cut = [[(s, v[s:e]) for s, e in sentence_spans(v)] for v in values]
         cut = [[(s, normal(t), letters(t)) for s, t in c] for c in cut]
         self.classify([raw for c in cut for _, raw, _ in c])
@@ -267,12 +272,21 @@ class Labeller:
             if not c:
                 out.append([])
                 continue
-            logs = np.stack([self.memo.get(raw) if raw in self.memo else self._again(raw) for _, raw, _ in c])
+            if len(c) == 1:
+                start, raw, _ = c[0]
+                one = self.memo[raw] if raw in self.memo else self._again(raw)
+                if hint in self.index:
+                    one = one.copy()
+                    one[self.index[hint]] += LABEL_BONUS
+                k = int(one.argmax())
+                out.append([(start, self.model.langs[k], math.exp(min(0.0, float(self.memo[raw][k]))))])
+                continue
+            logs = np.stack([self.memo[raw] if raw in self.memo else self._again(raw) for _, raw, _ in c])
             weights = [min(1.0, n / SHORT) for _, _, n in c]
             bonus = np.zeros(len(self.model.langs), np.float32)
             if hint in self.index:
                 bonus[self.index[hint]] = LABEL_BONUS
-            path = best_path(logs, weights, bonus) if len(c) > 1 else [int((logs[0] * weights[0] + bonus * weights[0]).argmax())]
+            path = best_path(logs, weights, bonus)
             spans, probability = [], np.exp(logs)
             for k, lang in enumerate(path):
                 if k and lang == path[k - 1]:
@@ -282,6 +296,15 @@ class Labeller:
             out.append([(s, lang, sum(p) / len(p)) for s, lang, p in spans])
         return out
 
+    def labelled(self, values: list[str], hints: list[str | None]) -> list[list[tuple[int, str, float]]]:
+        """Segments; values that differ in their numbers only are judged once."""
+        keys = [(_DIGITS.sub("0", v), h) for v, h in zip(values, hints)]
+        if len(self.known) > MEMO:
+            self.known.clear()
+        new = [k for k in dict.fromkeys(keys) if k not in self.known]
+        self.known.update(zip(new, self.segments([v for v, _ in new], [h for _, h in new])))
+        return [self.known[k] for k in keys]
+
     def _again(self, raw: bytes):
         self.classify([raw])
         return self.memo[raw]
@@ -290,11 +313,11 @@ class Labeller:
 def languages_of(
     df: DataFrame, codes: list[str], id_col: str = "entry_id", value_col: str = "value", label_col: str = "lang", source_col: str = "file", min_letters: int = 20
 ) -> DataFrame:
-    """``(id_col, label, segment_no, start_pos, lang, confidence, n_segments)`` of every value with enough letters."""
+    """``(id_col, label, segment_no, lang, confidence, n_segments)`` of every value with enough letters."""
     spark = df.sparkSession
     model = train(training_rows(df, codes, value_col, label_col, source_col, id_col))
     id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, label string, segment_no int, start_pos int, lang string, confidence double, n_segments int"
+    schema = f"`{id_col}` {id_type}, label string, segment_no int, lang string, confidence double, n_segments int"
     code = label_code(F.col(label_col))
     label = F.when(code.isin(codes), code)
     rows = df.select(F.col(id_col), F.col(value_col), label.alias("label")).where(F.length(value_col) >= min_letters)
@@ -305,18 +328,18 @@ def languages_of(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        labeller, letters = Labeller(shared.value), _letters()
+        labeller = Labeller(shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
                 values, labels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 pick = [i for i, v in enumerate(values) if letters(v) >= min_letters]
-                found = labeller.segments([values[i] for i in pick], [labels[i] for i in pick])
-                flat = [(i, labels[i], k, s, lang, p, len(segs)) for i, segs in zip(pick, found) for k, (s, lang, p) in enumerate(segs, 1)]
-                cols = list(zip(*flat)) or [[]] * 7
+                found = labeller.labelled([values[i] for i in pick], [labels[i] for i in pick])
+                flat = [(i, labels[i], k, lang, p, len(segs)) for i, segs in zip(pick, found) for k, (_, lang, p) in enumerate(segs, 1)]
+                cols = list(zip(*flat)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.float64()), pa.array(cols[6], pa.int32())],
-                    [id_col, "label", "segment_no", "start_pos", "lang", "confidence", "n_segments"],
+                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int32())],
+                    [id_col, "label", "segment_no", "lang", "confidence", "n_segments"],
                 )
 
     return rows.mapInArrow(run, schema)
