@@ -70,7 +70,7 @@ _INVERTED = "¿¡"
 _NO_MARKS = "฀-๿຀-໿"  # Thai, Lao
 _UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 #: The rules know digits only as digits: values that differ in their numbers have the same boundaries.
-DIGITS = {d: "0" for d in range(48, 58)}
+DIGITS = re.compile("[1-9]")
 MEMO = 100_000
 #: Letters a statement in a script without marks must have on either side of a space.
 STATEMENT = 8
@@ -378,7 +378,7 @@ def boundaries(df: DataFrame, id_col: str = "entry_id", value_col: str = "value"
             at: list[int] = []
             pos: list[int] = []
             for k, v in enumerate(batch.column(1).to_pylist()):
-                masked = v.translate(DIGITS)
+                masked = DIGITS.sub("0", v)
                 found = known.get(masked)
                 if found is None:
                     if len(known) > MEMO:
