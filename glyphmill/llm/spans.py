@@ -38,7 +38,7 @@ from glyphmill.plans import stage
 
 #: Characters hashed together, and entries gathered before they are packed.
 BATCH_CHARS = 2_000_000
-BATCH_ENTRIES = 500_000
+BATCH_ENTRIES = 1_000_000
 
 
 @lru_cache(maxsize=16)
@@ -105,7 +105,7 @@ class Hasher:
             return h ^ (h >> np.uint64(29))
 
 
-def _pack(h, g, text, pos, state, n_buckets: int, salt: int):
+def _pack(h, g, text, pos, n_buckets: int, salt: int):
     """Rows (bucket, blob) of one batch; resolves what the batch can resolve alone.
 
     state 0: not known to be repeated; 1: known to be repeated; 2: witness.
@@ -130,37 +130,38 @@ def _pack(h, g, text, pos, state, n_buckets: int, salt: int):
     bucket = np.r_[np.where(known, known_bucket, bucket), bucket[witness]]
     state = np.r_[known.astype(np.uint8), np.full(len(witness), 2, np.uint8)]
     index = np.r_[np.arange(len(h)), witness]
-    for b in range(n_buckets) if n_buckets < 64 else np.unique(bucket):
-        pick = np.flatnonzero(bucket == b)
-        if not len(pick):
-            continue
+    by_bucket = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
+    for pick in np.split(by_bucket, cuts):
         at = index[pick]
         at_order = np.lexsort((h[at], text[at]))
-        pick, at = pick[at_order], at[at_order]
+        b, pick, at = bucket[pick[0]], pick[at_order], at[at_order]
         texts, local = np.unique(text[at], return_inverse=True)
-        n = np.array([len(texts), len(at), g is not None], np.int64).tobytes()
-        yield int(b), b"".join(
-            [n, texts.tobytes(), h[at].tobytes(), g[at].tobytes() if g is not None else b"", np.diff(local.astype(np.int32), prepend=0).astype(np.uint16 if len(texts) < 65536 else np.int32).tobytes(), pos[at].astype(np.int32).tobytes(), state[pick].tobytes()]
-        )
+        step, place, marks = np.diff(local.astype(np.int64), prepend=0), pos[at], state[pick]
+        small, short, plain = int(step.max()) < 256, int(place.max()) < 65536, not marks.any()
+        head = np.array([len(texts), len(at), g is not None, small, short, plain], np.int32).tobytes()
+        parts = [head, texts.tobytes(), h[at].tobytes(), g[at].tobytes() if g is not None else b""]
+        parts += [step.astype(np.uint8 if small else np.int32).tobytes(), place.astype(np.uint16 if short else np.int32).tobytes(), b"" if plain else marks.tobytes()]
+        yield int(b), b"".join(parts)
 
 
 def _unpack(blob: bytes):
     import numpy as np
 
-    n_texts, n, wide = np.frombuffer(blob, np.int64, 3)
+    n_texts, n, wide, small, short, plain = np.frombuffer(blob, np.int32, 6).tolist()
     at = 24
-    texts = np.frombuffer(blob, np.int64, n_texts, at)
-    at += 8 * n_texts
-    h = np.frombuffer(blob, np.uint64, n, at)
-    at += 8 * n
-    g = np.frombuffer(blob, np.uint64, n, at) if wide else np.zeros(n, np.uint64)
-    at += 8 * n * wide
-    step = np.dtype(np.uint16 if n_texts < 65536 else np.int32)
-    local = np.cumsum(np.frombuffer(blob, step, n, at).astype(np.int64))
-    at += step.itemsize * n
-    pos = np.frombuffer(blob, np.int32, n, at)
-    at += 4 * n
-    return h, g, texts[local], pos, np.frombuffer(blob, np.uint8, n, at)
+
+    def take(kind, count: int):
+        nonlocal at
+        out = np.frombuffer(blob, kind, count, at)
+        at += out.nbytes
+        return out
+
+    texts, h = take(np.int64, n_texts), take(np.uint64, n)
+    g = take(np.uint64, n) if wide else np.zeros(n, np.uint64)
+    local = np.cumsum(take(np.uint8 if small else np.int32, n).astype(np.int64))
+    pos = take(np.uint16 if short else np.int32, n).astype(np.int32)
+    return h, g, texts[local], pos, np.zeros(n, np.uint8) if plain else take(np.uint8, n)
 
 
 def _reduce(table):
@@ -214,7 +215,7 @@ def _repeated(texts: DataFrame, length: int, anchors: bool, n_buckets: int) -> D
             if held:
                 h, g, tid, pos = (np.concatenate(x) if x[0] is not None else None for x in zip(*held))
                 number += 1
-                rows = list(_pack(h, g, tid, pos, None, n_buckets, number))
+                rows = list(_pack(h, g, tid, pos, n_buckets, number))
                 held, count = [], 0
                 seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
@@ -241,7 +242,7 @@ def _repeated(texts: DataFrame, length: int, anchors: bool, n_buckets: int) -> D
                 starts.append(at + (end - n))
                 tids.append(np.full(len(at), tid, np.int64))
             at = np.concatenate(starts)
-            return one.windows(codes, at, width), None if anchors else two.windows(codes, at, width), np.concatenate(tids), np.concatenate(own)
+            return one.windows(codes, at, width), None if anchors else two.windows(codes, at, width), np.concatenate(tids), np.concatenate(own).astype(np.int32)
 
         block, chars = [], 0
         for batch in batches:
