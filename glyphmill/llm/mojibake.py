@@ -10,9 +10,11 @@ prior, so that short values of a garbled file are found although each alone says
 little.  A record is repaired by its most probable chain; a text that lost
 characters for good (U+FFFD) is found but cannot be regained.
 
-Plan.  One pass counts character bigrams (combined per task, the most frequent
-``MAX_BIGRAMS`` are broadcast, a table of fixed size).  A second narrow pass scores
-records with rare bigrams only.  Per source, records are reduced to counts of
+Plan.  One pass counts character bigrams of the values that no chain makes less
+stray (so garbled text is not learnt, however frequent it is), combined per task; the
+most frequent ``MAX_BIGRAMS`` are broadcast, a table of fixed size.  A second narrow
+pass scores every non-ASCII record by all chains that can have made it, weak and
+negative evidence included.  Per source, records are reduced to counts of
 rounded evidence profiles with map-side combination, so the EM of a source reads
 profiles, not records, however large the source is.  The shares are joined back
 to the few suspicious records.
@@ -31,19 +33,21 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from glyphmill.llm.lookalikes import CYRILLIC, GREEK, LOOKS, script, skeleton, units
 from glyphmill.plans import stage
 
 MAX_BIGRAMS = 300_000
-#: Candidates kept for a record, least evidence of one, rounding of evidence in profiles.
-KEEP, LEAST, STEP, MOST = 4, 4.0, 4.0, 40.0
+#: Rounding of evidence in profiles, and the most that counts.
+STEP, MOST = 4.0, 40.0
+#: The share of clean records is at least ``CLEAN``, so evidence below ``NONE`` gives odds under 2e-5 in any source; here it is still cut at 4.
+CLEAN, NONE = 1e-6, 4.0
 #: Further penalty for each bigram of a candidate that the collection does not hold.
 UNSEEN = 6.0
-#: A bigram counts as rare below this share of all bigrams.
-RARE = 2e-5
 #: Prior share of garbled records in a source, and its weight in records.
 PRIOR, WEIGHT = 0.01, 30.0
 ITERATIONS = 8
@@ -61,7 +65,6 @@ CHAINS = (
     + [("utf-8", w) for w in WIDE]
     + [(r, w) for w in READ_AS[:10] for r in STORED_AS if r != w]
 )
-_HIGH_PAIR = re.compile("[^\\x00-\\x7f]{2}")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -223,130 +226,216 @@ class Bigrams:
     def __init__(self, rows: list[tuple[int, int]], total: int):
         self.floor = math.log(0.3 / max(total, 1))
         self.logs = {chr(k >> 21) + chr(k & 0x1FFFFF): math.log(n / max(total, 1)) for k, n in rows}
-        self.rare = math.log(RARE)
 
     def score(self, text: str, unseen: float = 0.0) -> float:
-        """Log likelihood; ``unseen`` is a further penalty for every bigram the collection does not hold."""
-        get, floor, t = self.logs.get, self.floor - unseen, plain(text)
+        """Log likelihood of the bigrams in a text; ``unseen`` is a further penalty for every bigram the collection does not hold."""
+        get, floor, t = self.logs.get, self.floor - unseen, plain(text)[1:-1]
         return sum([get(t[i : i + 2], floor) for i in range(len(t) - 1)])
 
-    def rare_characters(self, text: str) -> set[str]:
-        """Non-ASCII characters that stand in a rare bigram of the text."""
-        get, floor, rare, t = self.logs.get, self.floor, self.rare, plain(text)[1:-1]
-        out: set[str] = set()
-        for i in range(len(t) - 1):
-            b = t[i : i + 2]
-            if not b.isascii() and get(b, floor) < rare:
-                out.update(b)
-        letter = False
-        for c in text:  # symbols and controls that touch a letter or each other
-            odd = c > "\x7f" and category(c) in _ODD
-            if odd and letter:
-                out.add(_folded(c).lower())
-            letter = odd or c.isalpha()
-        found = {c for c in text if c > "\x7f" and not out.isdisjoint(_folded(c).lower() or c)} if out else set()
-        return found.union(text[m.start() - 1] for m in _PAIRED.finditer(text))
 
-
-_ODD = ("So", "Sm", "Sk", "Sc", "Cc", "No", "Co", "Cn")
+#: Marks that stand inside words of clean text.
+_INSIDE = frozenset("’‘ʼ·‧・–—‑/…")
 
 
 @lru_cache(maxsize=100_000)
-def category(c: str) -> str:
-    return unicodedata.category(c)
+def _kind(c: str) -> str:
+    """Upper case, lower case, other Latin letters (h: not ASCII), eastern letters (e), other letters (x), signs (s, symbols g), what may end a character of two bytes (n), the rest."""
+    kind = unicodedata.category(c)
+    if c in "\xa0\xad":
+        return "n"
+    if kind[0] == "L":
+        if c >= "⺀":
+            return "e"
+        latin = c < "\u0250" or "\u1e00" <= c < "\u1f00"
+        case = "u" if kind == "Lu" else "l" if kind == "Ll" else "x"
+        return case if not latin or c < "\x80" else case.translate(_HIGH)
+    if kind in ("Sk", "So", "Sm", "Lm") and c > "\x7f":
+        return "g"
+    if c > "\x7f" and c not in _INSIDE and (kind[0] in "SC" or kind in ("No", "Po", "Ps", "Pe", "Pi", "Pf", "Lm")):
+        return "s"
+    return "a" if kind[0] == "M" else " "
+
+
+#: Upper and lower case of Latin letters outside ASCII.
+_HIGH = str.maketrans({"u": "U", "l": "L", "x": "L"})
+_STRAY = re.compile("(?<=[lL])[uU]|(?<=[UL])[UL]|(?<=[ULsg])[sgn]|(?<=[ulxe])[sg](?=[ulULxesg])|(?<![ulULxesg])g(?=[lL])|(?<=[lL])e|e(?=[lL])|(?<=[ulUL])x|x(?=[ulUL])")
+#: Eastern letters that touch small Latin ones.
+_TOUCHING = re.compile("(?<=[a-zß-ɏ])[⺀-\uffef]|[⺀-\uffef](?=[a-zß-ɏ])")
+
+
+def strayness(word: str) -> int:
+    """Number of places where a word does what words of no language do: capitals after small letters, signs inside, Latin letters outside ASCII side by side."""
+    return len(_STRAY.findall("".join(map(_kind, word)))) + sum("\x80" <= c <= "\x9f" for c in word)
+
+
+@lru_cache(maxsize=KNOWN)
+def explained(word: str) -> bool:
+    """Whether some chain makes a word less stray: such words are not counted in the model, however frequent they are."""
+    if word.isascii():
+        return False
+    odd = strayness(word)
+    if not odd:
+        return False
+    reach = {w for w, high in _reach().items() if not high.isdisjoint(word)}.union(WIDE)
+    for stored, read in CHAINS:
+        if read not in reach:
+            continue
+        got = undo(word, stored, read)
+        if got is not None and "�" not in got and fitting(stored, got, word) and strayness(got) < odd:
+            return True
+    return False
+
+
+def fitting(stored: str, text: str, before: str) -> bool:
+    """Whether a candidate can be what was stored."""
+    if stored.startswith("utf-8"):
+        return True
+    return credible(text, before) and (stored not in MULTI or max(text) >= "⺀")
+
+
+#: Runs that chains of single bytes and of UTF-8 change, with a character on either side.
+_RUN = re.compile("([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
+#: Chains that change a run whatever stands beside it, and those that read ASCII as second bytes.
+_LOCAL = [k for k, (r, w) in enumerate(CHAINS) if r not in MULTI and w not in WIDE]
+_WORDS = [k for k in range(len(CHAINS)) if k not in set(_LOCAL)]
 
 
 class Scorer:
+    """Evidence of all chains.  It is a sum over runs of non-ASCII characters or words; these recur, so each is judged once."""
+
     def __init__(self, model: Bigrams):
         self.model = model
-        self.memo: dict[frozenset, list[int]] = {}
-        self.seen: dict[str, tuple[str, frozenset[str]]] = {}
-        self.words: dict[tuple[str, frozenset[str]], tuple[int, ...]] = {}
+        self.straight: dict[str, str] = {}
+        self.memo: dict[tuple[str, str, int], tuple] = {}
         self.known: dict[str, list[tuple[int, float]]] = {}
-        self.able = {w: frozenset(chr(c) for c, b in to_bytes(w).items() if b > 127) for w in READ_AS}
+        self.strange: dict[str, object] = {}
 
-    def plausible(self, rare: frozenset[str]) -> list[int]:
-        """Chains that can have made one of the rare characters, and all of them out of letters if single bytes are mapped."""
-        got = self.memo.get(rare)
+    def judged(self, text: str, edges: str, chains: list[int]):
+        """Gain of each chain on a part of a text (-inf: it cannot have made it) and whether the chain accounts for a change."""
+        import numpy as np
+
+        key = text, edges, len(chains)
+        got = self.memo.get(key)
         if got is None:
-            if len(self.memo) > 100_000:
+            if len(self.memo) > KNOWN:
                 self.memo.clear()
-            got = []
-            possible = {w for w, chars in self.able.items() if rare & chars}
-            eastern = any(c >= "⺀" for c in rare)
-            for k, (stored, read) in enumerate(CHAINS):
-                if read in WIDE and eastern if read in WIDE else read in possible:
-                    table = None if stored.startswith("utf-8") or stored in MULTI else _single(stored, read)
-                    if table is None or all((table.get(ord(c)) or " ").isalpha() for c in rare):
-                        got.append(k)
-            self.memo[rare] = got
+            gain, able, scores = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool), {}
+            left, right = edges
+            base = self.model.score(left + text + right)
+            reach = {w for w, high in _reach().items() if not high.isdisjoint(text)}
+            for k in chains:
+                stored, read = CHAINS[k]
+                if read not in reach and read not in WIDE:
+                    continue
+                fixed = undo(text, stored, read)
+                if fixed is None:
+                    if not _stays(text, stored, read):
+                        gain[k] = -np.inf
+                    continue
+                got = scores.get((fixed, stored in MULTI, stored[:5] == "utf-8"))
+                if got is None:
+                    full = left + fixed + right
+                    if "�" in fixed or not stored.startswith("utf-8") and not _possible(full, left + text + right):
+                        got = -np.inf, False
+                    else:
+                        got = self.model.score(full, UNSEEN) - base, stored.startswith("utf-8") or any(c.isalpha() for c in set(fixed) - set(text))
+                    if stored in MULTI:
+                        got = got[0] - 2 * UNSEEN * len(_TOUCHING.findall(full)), got[1]
+                    scores[fixed, stored in MULTI, stored[:5] == "utf-8"] = got
+                gain[k], able[k] = got
+                if stored in MULTI and max(fixed) < "⺀":
+                    able[k] = False
+            got = self.memo[key] = gain, able
         return got
 
-    def word(self, word: str) -> tuple[str, frozenset[str]]:
-        """A word in one script, and its rare characters; words recur, so each is looked at once."""
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) > KNOWN:
-                self.seen.clear()
-            straight = unmixed(word)
-            got = self.seen[word] = straight, frozenset(self.model.rare_characters(f" {straight} "))
-        return got
+    def foreign(self, word: str):
+        """Chains by which a word of Latin letters outside ASCII becomes one of another script."""
+        import numpy as np
 
-    def word_chains(self, word: str, rare: frozenset[str]) -> tuple[int, ...]:
-        """Chains that make one word more likely; words with rare characters recur, so each is judged once."""
-        key = (word, rare)
-        got = self.words.get(key)
+        got = self.strange.get(word)
         if got is None:
-            if len(self.words) > KNOWN:
-                self.words.clear()
-            base, pairs, able = self.model.score(word), _HIGH_PAIR.search(word), []
-            for k in self.plausible(rare):
-                stored, read = CHAINS[k]
-                if not pairs and stored.startswith("utf-8"):
-                    continue
-                fixed = undo(word, stored, read)
-                if fixed is not None and self.model.score(fixed, UNSEEN) > base:
-                    able.append(k)
-            got = self.words[key] = tuple(able)
+            if len(self.strange) > KNOWN:
+                self.strange.clear()
+            got = np.zeros(len(CHAINS))
+            if all(_kind(c) in "UL" for c in word if c.isalpha()):
+                for k in _LOCAL:
+                    fixed = undo(word, *CHAINS[k])
+                    got[k] = fixed is not None and any(c.isalpha() and script(c) != "LATIN" for c in fixed)
+            self.strange[word] = got
         return got
 
     def chains(self, text: str) -> list[tuple[int, float]]:
-        """(chain, evidence) of the chains that make the text more likely, best first."""
-        parts = [(w, None) if w.isascii() else self.word(w) for w in text.split(" ")]
-        able: set[int] = set().union(*(self.word_chains(w, rare) for w, rare in parts if rare))
-        if not able:
-            return []
-        text = " ".join(w for w, _ in parts)
-        base, found, seen = self.model.score(text), [], {text}
-        for k in sorted(able):
-            stored, read = CHAINS[k]
-            got = undo(text, stored, read)
-            if got is None or "�" in got or got in seen:
-                continue
-            seen.add(got)
-            if not stored.startswith("utf-8") and not credible(got, text):
-                continue
-            if stored in MULTI and max(got) < "⺀":
-                continue
-            gain = self.model.score(got, UNSEEN) - base
-            if gain >= LEAST:
-                found.append((k, gain))
-        return sorted(found, key=lambda x: (-x[1], x[0]))[:KEEP]
+        """(chain, evidence) of all chains that can have made the text."""
+        import numpy as np
 
-    def candidates(self, text: str) -> list[tuple[int, float, str]]:
-        """(chain, evidence, candidate); texts that differ in digits only are judged once."""
+        words, straight = text.split(" "), []
+        gain, able = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool)
+        for at, w in enumerate(words):
+            if not w.isascii():
+                known = self.straight.get(w)
+                if known is None:
+                    if len(self.straight) > KNOWN:
+                        self.straight.clear()
+                    known = self.straight[w] = unmixed(w)
+                w = known
+                g, a = self.judged(w, "  ", _WORDS)
+                gain = gain + g
+                able |= a
+                beside = sum(x.isascii() and any(map(str.isalpha, x)) for x in words[max(0, at - 1) : at + 2])
+                if beside:  # words of two scripts stand side by side as seldom as unknown bigrams
+                    gain = gain - UNSEEN * beside * self.foreign(w)
+            straight.append(w)
+        for m in _RUN.finditer(" ".join(straight)):
+            g, a = self.judged(m.group(2), (m.group(1) or "\n") + (m.group(3) or "\n"), _LOCAL)
+            gain = gain + g
+            able |= a
+        return [(int(k), float(gain[k])) for k in np.flatnonzero(able & (gain > NONE))]
+
+    def candidates(self, text: str) -> list[tuple[int, float]]:
+        """(chain, evidence); texts that differ in digits only are judged once."""
         masked = _DIGITS.sub("0", text)
         found = self.known.get(masked)
         if found is None:
             if len(self.known) > KNOWN:
                 self.known.clear()
             found = self.known[masked] = self.chains(masked)
-        straight = unmixed(text) if found else text
-        return [(k, gain, undo(straight, *CHAINS[k]) or straight) for k, gain in found]
+        return found
+
+
+@lru_cache(maxsize=1)
+def _reach() -> dict[str, frozenset[str]]:
+    """Non-ASCII characters of each single-byte codec."""
+    return {w: frozenset(chr(c) for c, b in to_bytes(w).items() if b > 127) for w in READ_AS}
+
+
+def _possible(text: str, before: str) -> bool:
+    """Whether a part brings no stray characters and no word of mixed scripts."""
+    if any(c > "\x7f" and category(c) in ("Cc", "Cf", "Cn", "Co", "Cs", "Zs", "Zl", "Zp") for c in set(text) - set(before)):
+        return False
+    return not _mixed(text)
+
+
+def _stays(text: str, stored: str, read: str) -> bool:
+    """Whether a chain that changes nothing leaves the part as it is, rather than being unable to have made it."""
+    if stored.startswith("utf-8") and read not in WIDE:
+        return True
+    if stored not in MULTI and read not in WIDE:
+        return _without(stored, read).isdisjoint(text)
+    try:
+        if read in WIDE:
+            return text.encode(read).decode("utf-8") == text
+        return _runs(read)[0].sub(lambda m: _bytes(m.group(), read).decode(stored), text) == text
+    except UnicodeError:
+        return False
+
+
+@lru_cache(maxsize=100_000)
+def category(c: str) -> str:
+    return unicodedata.category(c)
 
 
 def bigram_counts(values: DataFrame, limit: int = MAX_BIGRAMS) -> tuple[list[tuple[int, int]], int]:
-    """The most frequent character bigrams of all non-ASCII values, and the number of bigrams."""
+    """The most frequent character bigrams of the non-ASCII values that no chain explains, and the number of bigrams."""
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
@@ -354,7 +443,8 @@ def bigram_counts(values: DataFrame, limit: int = MAX_BIGRAMS) -> tuple[list[tup
 
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            text = "".join(map(plain, batch.column(0).to_pylist()))
+            values = [v for v in batch.column(0).to_pylist() if not any(map(explained, _DIGITS.sub("0", v).split(" ")))]
+            text = "".join(map(plain, values))
             codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
             k, n = np.unique((codes[:-1] << 21) | codes[1:], return_counts=True)
             keys, at = np.unique(np.r_[keys, k], return_inverse=True)
@@ -370,7 +460,7 @@ def bigram_counts(values: DataFrame, limit: int = MAX_BIGRAMS) -> tuple[list[tup
 
 
 def scored_records(df: DataFrame, id_col: str, value_col: str, source_col: str) -> DataFrame:
-    """Suspicious records: id, source, lossy, chains, evidence and candidate texts."""
+    """Records that a chain can have made: id, source, value, lossy, chains, evidence."""
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(value_col).alias("value"))
     rows = rows.where(F.col("value").rlike(r"[^\p{ASCII}]"))
     spark = df.sparkSession
@@ -382,23 +472,28 @@ def scored_records(df: DataFrame, id_col: str, value_col: str, source_col: str)
 
         scorer = Scorer(Bigrams(*shared.value))
         for batch in batches:
-            at, lossy, chains, gains, texts = [], [], [], [], []
+            at, lossy, chains, gains = [], [], [], []
             for k, v in enumerate(batch.column(2).to_pylist()):
                 lost = "�" in v or "ï¿½" in v
                 found = [] if lost else scorer.candidates(v)
                 if found or lost:
                     at.append(k)
                     lossy.append(lost)
-                    chains.append([c for c, _, _ in found])
-                    gains.append([g for _, g, _ in found])
-                    texts.append([t for _, _, t in found])
+                    chains.append([c for c, _ in found])
+                    gains.append([g for _, g in found])
             pick = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(lossy, pa.bool_()), pa.array(chains, pa.list_(pa.int32())), pa.array(gains, pa.list_(pa.float64())), pa.array(texts, pa.list_(pa.string()))],
-                ["id", "source", "lossy", "chains", "gains", "texts"],
+                [*(batch.column(c).take(pick) for c in range(3)), pa.array(lossy, pa.bool_()), pa.array(chains, pa.list_(pa.int32())), pa.array(gains, pa.list_(pa.float64()))],
+                ["id", "source", "value", "lossy", "chains", "gains"],
             )
 
-    return rows.mapInArrow(run, f"id {id_type}, source {source_type}, lossy boolean, chains array<int>, gains array<double>, texts array<string>")
+    return rows.mapInArrow(run, f"id {id_type}, source {source_type}, value string, lossy boolean, chains array<int>, gains array<double>")
+
+
+@F.pandas_udf(StringType())
+def _undone(value: pd.Series, chain: pd.Series) -> pd.Series:
+    """The texts before their chains."""
+    return pd.Series([None if v is None or k is None or k != k else undo(unmixed(v), *CHAINS[int(k)]) or unmixed(v) for v, k in zip(value, chain)], dtype=object)
 
 
 def _weight(chain: int) -> int:
@@ -421,7 +516,7 @@ def shares(profiles: list[tuple[list[int], list[float], int]], total: int) -> di
             for c, w in zip(chains, weights):
                 expected[c] += n * w / z
         share = {c: (e + WEIGHT * base[c]) / (total + WEIGHT) for c, e in expected.items()}
-        clean = max(1e-6, 1 - sum(share.values()))
+        clean = max(CLEAN, 1 - sum(share.values()))
     return {-1: math.log(clean)} | {c: math.log(s) for c, s in share.items()}
 
 
@@ -444,7 +539,7 @@ def posteriors(df: DataFrame, id_col: str = "entry_id", value_col: str = "value"
     rows = scored.withColumn("source", key).join(fitted, "source", "left")
     share = F.map_from_arrays("chain", "share")
     logs = F.zip_with("chains", "gains", lambda c, g: F.coalesce(F.try_element_at(share, c), F.lit(-50.0)) + g)
-    rows = rows.select("id", "lossy", "chains", "texts", logs.alias("logs"), F.coalesce(F.try_element_at(share, F.lit(-1)), F.lit(0.0)).alias("clean"))
+    rows = rows.select("id", "value", "lossy", "chains", logs.alias("logs"), F.coalesce(F.try_element_at(share, F.lit(-1)), F.lit(0.0)).alias("clean"))
     best = F.array_position("logs", F.array_max("logs")).cast("int") - 1
     rows = rows.withColumn("best", F.when(F.size("logs") > 0, best))
     odds = F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + F.exp(F.least(x - F.col("clean"), F.lit(60.0))))
@@ -453,7 +548,7 @@ def posteriors(df: DataFrame, id_col: str = "entry_id", value_col: str = "value"
         "lossy",
         F.get("chains", F.col("best")).alias("chain"),
         F.when(F.col("lossy"), 1.0).otherwise(odds / (1 + odds)).alias("posterior"),
-        F.get("texts", F.col("best")).alias("repaired"),
+        _undone(F.col("value"), F.get("chains", F.col("best"))).alias("repaired"),
     )
 
 

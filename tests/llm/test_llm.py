@@ -302,6 +302,15 @@ def test_garbled_text_is_found_and_restored(spark):
     assert sum(got[i] == want[i] for i in found & set(want)) >= 0.9 * len(found & set(want))
 
 
+def test_frequent_garbling_is_found(spark):
+    clean = [CLEAN[i % len(CLEAN)].replace("1", str(i)) for i in range(600)]
+    bad = [CLEAN[2].encode("cp1251").decode("cp1252"), CLEAN[1].encode("utf-8").decode("cp1252")]
+    rows = [(i, "a.js", f"k{i}", v, "de") for i, v in enumerate(clean)] + [(1000 + i, "b.js", f"k{i}", bad[i % 2], "ru") for i in range(300)]
+    got = {r.entry_id: r.repaired for r in mojibake.garbled(table(spark, rows)).collect()}
+    assert set(got) == {1000 + i for i in range(300)}
+    assert set(got.values()) == {CLEAN[1], CLEAN[2]}
+
+
 def test_undo_round_trips():
     for stored, read in (("cp1251", "cp1252"), ("utf-8", "mac_roman"), ("iso8859-2", "latin-1"), ("cp932", "latin-1")):
         text = {"cp1251": "Привет, мир", "utf-8": "déjà vu", "iso8859-2": "zażółć", "cp932": "数量"}[stored]
