@@ -43,9 +43,9 @@ from glyphmill.plans import stage
 
 MAX_BIGRAMS = 300_000
 #: Rounding of evidence in profiles, and the most that counts.
-STEP, MOST = 4.0, 40.0
-#: The share of clean records is at least ``CLEAN``, so evidence below ``NONE`` gives odds under 2e-5 in any source; here it is still cut at 4.
-CLEAN, NONE = 1e-6, 4.0
+STEP, MOST = 1.0, 40.0
+#: The share of clean records is at least ``CLEAN``, so evidence below ``NONE`` gives odds under 2e-5 in any source: it is no candidate.
+CLEAN, NONE = 1e-6, -25.0
 #: Further penalty for each bigram of a candidate that the collection does not hold.
 UNSEEN = 6.0
 #: Prior share of garbled records in a source, and its weight in records.

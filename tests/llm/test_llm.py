@@ -311,6 +311,19 @@ def test_frequent_garbling_is_found(spark):
     assert set(got.values()) == {CLEAN[1], CLEAN[2]}
 
 
+def test_weak_evidence_reaches_the_shares():
+    pairs = {"aè": 900, "èb": 900, "aé": 4000, "éb": 4000, "aa": 100_000}
+    model = mojibake.Bigrams([((ord(p[0]) << 21) | ord(p[1]), n) for p, n in pairs.items()], sum(pairs.values()))
+    chain = mojibake.CHAINS.index(("cp1252", "mac_roman"))
+    weak = dict(mojibake.Scorer(model).candidates("aÈb"))
+    against = dict(mojibake.Scorer(mojibake.Bigrams([((ord(p[0]) << 21) | ord(p[1]), n) for p, n in (pairs | {"aé": 450, "éb": 450}).items()], 100_000)).candidates("aÈb"))
+    assert 0 < weak[chain] < 4 and -4 < against[chain] < 0
+    share = mojibake.shares([([chain], [20.0], 95), ([chain], [weak[chain]], 5)], 100)
+    assert share[chain] + weak[chain] > share[-1]
+    share = mojibake.shares([([chain], [20.0], 980), ([chain], [against[chain]], 20)], 1000)
+    assert share[chain] + against[chain] > share[-1]
+
+
 def test_undo_round_trips():
     for stored, read in (("cp1251", "cp1252"), ("utf-8", "mac_roman"), ("iso8859-2", "latin-1"), ("cp932", "latin-1")):
         text = {"cp1251": "Привет, мир", "utf-8": "déjà vu", "iso8859-2": "zażółć", "cp932": "数量"}[stored]
