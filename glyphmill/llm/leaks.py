@@ -14,9 +14,11 @@ window within ``RADIUS`` bits in all.  Candidates are verified by the exact weig
 similarity of their word shingles (a leaking passage always shares a run of
 words with the item) and finally by an exact alignment.
 
-Before fingerprints are made, documents are reduced to stretches where windows
-of eight words hold at least seven words of the items; every leaking passage of
-eight words or more has such a window, so nothing is lost.
+Before fingerprints are made, documents are reduced to stretches around windows
+of eight words that hold at least seven words of the items (or of the short half
+of a short item, all of whose words must be known), extended on both sides by the
+longest passage an item allows; every leaking passage has such a window and lies
+within its stretch, so nothing is lost.
 
 Plan.  The item table is small; it is read in blocks of ``BLOCK`` items, each
 broadcast with a size known beforehand, and the corpus is scanned once for each
@@ -89,7 +91,21 @@ class ItemIndex:
             tables = np.stack([near[:, (prints >> np.uint64(8 * b)).astype(np.uint8)] for b in range(8)])
             self.groups[size] = (np.array(owner), prints, tables)
         self.radius = radius
-        self.least = min((h for h, c in zip(self.half, self.coded) if c), default=1)
+        self.seeds = self._seeds()
+
+    def _seeds(self) -> list:
+        """(window size, words of its items, longest passage): eight words, and for items with shorter halves also those."""
+        import numpy as np
+
+        out = []
+        for size in sorted({min(8, h) for h, c in zip(self.half, self.coded) if c} | {8}):
+            # a passage of an item with a short half may also be eight words or longer
+            own = [c for h, c in zip(self.half, self.coded) if c and (h == size or size == 8)]
+            known, longest = np.zeros(len(self.vocabulary) + 1, bool), max(map(len, own), default=0)
+            for c in own:
+                known[c] = True
+            out.append((size, known, longest + longest // (EDIT_SHARE - 1)))
+        return out
 
     @staticmethod
     def _least_run(half: int, n: int) -> int:
@@ -183,21 +199,31 @@ def aligned(item: list[int], text: list[int], half: int, share: int = EDIT_SHARE
     return False
 
 
-def _stretches(known, least: int):
-    """Half-open stretches of word positions around windows of eight words with at most one unknown word."""
+def _stretches(codes, seeds):
+    """Half-open stretches of word positions that may hold a leaking passage.
+
+    Windows with at most one unknown word (none under eight words) show where one
+    may be; each is extended by the longest passage that its items allow.
+    """
     import numpy as np
 
-    size = min(8, least)
-    if len(known) < size:
-        return []
-    c = np.zeros(len(known) + 1, np.int32)
-    np.cumsum(known, out=c[1:])
-    need = size - 1 if size == 8 else size - size // EDIT_SHARE
-    at = np.flatnonzero(c[size:] - c[:-size] >= need)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > size)
-    return list(zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + size))
+    spans = []
+    for size, known, reach in seeds:
+        if len(codes) < size:
+            continue
+        c = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum(known[codes], out=c[1:])  # code -1 is the last place, never known
+        at = np.flatnonzero(c[size:] - c[:-size] >= size - (size == 8))
+        if len(at):
+            cut = np.flatnonzero(np.diff(at) > 2 * reach)
+            spans += zip((at[np.r_[0, cut + 1]] - reach).tolist(), (at[np.r_[cut, len(at) - 1]] + size + reach).tolist())
+    out = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(max(0, lo), min(len(codes), hi)) for lo, hi in out]
 
 
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -222,9 +248,8 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 for place, text in enumerate(batch.column(1).to_pylist()):
                     codes = [code(w, -1) for w in words(text.casefold())]
                     hit: set[int] = set()
-                    for lo, hi in _stretches(np.array(codes) >= 0, ix.least):
-                        # a passage may reach past its densest windows
-                        hit |= ix.leaked(codes[max(0, lo - 8) : hi + 8])
+                    for lo, hi in _stretches(np.array(codes, np.int64), ix.seeds):
+                        hit |= ix.leaked(codes[lo:hi])
                     ids.extend([place] * len(hit))
                     found.extend(ix.ids[k] for k in sorted(hit))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, _arrow(item_type))], [id_col, item_col])

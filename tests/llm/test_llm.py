@@ -176,6 +176,14 @@ def test_leaks(spark):
     assert leaks.p8_found(df.where("false"), items).count() == 0 and leaks.p8_found(df, items.where("false")).count() == 0
 
 
+def test_leaks_on_both_sides_of_unknown_words(spark):
+    short, long = [f"w{i}" for i in range(24)], [f"v{i}" for i in range(100)]
+    docs = [(1, " ".join(short[:10] + ["x", "y", "z"] + short[13:])), (2, " ".join(long[:25] + ["x", "y", "z"] + long[25:50])), (3, "a b one two c d"), (4, " ".join(long[:25] + ["x"] * 40 + long[25:50]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long)), (3, "one two three")], "item_id bigint, text string")
+    assert {tuple(r) for r in leaks.p8_found(df, items).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_aligned_equals_brute_force():
     def brute(item, text, half):
         # every passage and every part of the item, by edit distance with counted matches
