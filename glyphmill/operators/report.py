@@ -24,9 +24,24 @@ def category(counts: dict[str, Column]) -> Column:
     return F.when(most > 0, out)
 
 
-def differences(df: DataFrame, context: Context = Context(), value: str = "value") -> DataFrame:
+def fix_all(df: DataFrame, value: str = "value", context: Context = Context(), spelling: tuple[DataFrame, DataFrame] | None = None, id_col: str = "entry_id") -> DataFrame:
+    """``fix`` with spelling (lexicon and custom words) as its last step, on what the other steps leave of English values."""
+    out = fix(df, value, context)
+    if spelling is None:
+        return out
+    lexicon, custom = spelling
+    if context.glossary:
+        custom = custom.select("word").union(df.sparkSession.createDataFrame([(w.lower(),) for w, _ in context.glossary], "word string")).distinct()
+    out = stage(out, "fixed")
+    hits = check_spelling(out.where(F.col("lang_code").isin(list(K.ENGLISH))), lexicon, custom, id_col, "fixed")
+    out = apply_spelling(out, hits, id_col, "fixed")
+    labels = F.when(F.col("spelled") != F.col("fixed"), F.concat("labels", F.array(F.lit(K.L_SPELLING)))).otherwise(F.col("labels"))
+    return out.withColumn("labels", labels).withColumn("fixed", F.col("spelled")).drop("spelled")
+
+
+def differences(df: DataFrame, context: Context = Context(), value: str = "value", spelling: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rows with at least one fix: ``before, after, categories`` beside the input columns."""
-    out = fix(df.where(F.col(value).isNotNull()), value, context)
+    out = fix_all(df.where(F.col(value).isNotNull()), value, context, spelling)
     return keep(out, F.size("labels") > 0).withColumn("before", F.col(value)).withColumn("after", F.col("fixed")).withColumn("categories", F.array_join("labels", "; ")).drop("fixed", "labels")
 
 
@@ -36,20 +51,20 @@ def flags(df: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumn("issue", F.explode(repeated_words(F.col(value)))).withColumn("category", F.lit("Grammar"))
 
 
-def diff_report(df: DataFrame, context: Context = Context()) -> DataFrame:
+def diff_report(df: DataFrame, context: Context = Context(), spelling: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``file, line, key, type, categories_or_category, before_or_issue, after``: fixed rows and rows to review."""
-    fixed = differences(df, context).select("file", "line", "key", F.lit("auto-fixed").alias("type"), F.col("categories").alias("categories_or_category"), F.col("before").alias("before_or_issue"), "after")
+    fixed = differences(df, context, spelling=spelling).select("file", "line", "key", F.lit("auto-fixed").alias("type"), F.col("categories").alias("categories_or_category"), F.col("before").alias("before_or_issue"), "after")
     review = flags(df).select("file", "line", "key", F.lit("needs-review").alias("type"), F.col("category").alias("categories_or_category"), F.col("issue").alias("before_or_issue"), F.lit("").alias("after"))
     return fixed.unionByName(review)
 
 
-def routed(df: DataFrame, context: Context = Context(), hits: DataFrame | None = None, spelled: tuple[str, ...] = ("en",), id_col: str = "entry_id") -> DataFrame:
+def routed(df: DataFrame, context: Context = Context(), hits: DataFrame | None = None, spelled: tuple[str, ...] = ("en",), id_col: str = "entry_id", spelling: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Every entry once with its issue counts, category, suggestion and labels.
 
     ``hits`` are spelling hits by identifier; where a language has no lexicon the
     spelling count is null: not checked is not clean.
     """
-    rows = fix(detect(df.where("value is not null"), context=context), context=context)
+    rows = fix_all(detect(df.where("value is not null"), context=context), context=context, spelling=spelling, id_col=id_col)
     if hits is not None:
         n = hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
         rows = rows.join(n, id_col, "left").withColumn("n_spelling", F.when(F.col("lang_code").isin(list(spelled)), F.coalesce("_n", F.lit(0)))).drop("_n")
@@ -81,9 +96,9 @@ def file_stats(report: DataFrame, dups: DataFrame) -> DataFrame:
     return by_file.join(d, "file", "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0).cast("bigint")))
 
 
-def run_stats(df: DataFrame, context: Context = Context()) -> DataFrame:
+def run_stats(df: DataFrame, context: Context = Context(), spelling: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row per file: total, auto-fixed, duplicates, flagged."""
-    rows = fix(df.where("value is not null"), context=context)
+    rows = fix_all(df.where("value is not null"), context=context, spelling=spelling)
     base = rows.groupBy("file").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("labels") > 0).alias("auto_fixed"), F.sum(F.size(repeated_words(F.col("value")))).alias("flagged"))
     d = duplicates(df.where("value is not null")).groupBy("file").agg(F.count(F.lit(1)).alias("duplicates"))
     return base.join(d, "file", "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0).cast("bigint")))
@@ -135,5 +150,5 @@ def column_widths(sheet: DataFrame) -> DataFrame:
 def full_report(df: DataFrame, lexicon: DataFrame, custom: DataFrame, context: Context = Context()) -> dict[str, DataFrame]:
     """All sheets of entries with ``file, line, key, value, lang_code, lang_name, detection``, spelling included."""
     hits = stage(check_spelling(df.where(F.col("lang_code").isin(list(K.ENGLISH))), lexicon, custom), "hits")
-    report = stage(apply_spelling(routed(df, context, hits), hits, value="fixed").withColumn("suggested", F.coalesce(F.when(F.col("spelled") != F.col("value"), F.col("spelled")), F.lit(K.MANUAL))), "report")
+    report = stage(routed(df, context, hits, spelling=(lexicon, custom)), "report")
     return sheets(report, duplicates(df), words_column(hits))

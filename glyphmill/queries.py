@@ -209,17 +209,23 @@ def x18_match_case(spark, d):
     return words.select("word", match_case(F.col("word"), F.lit("fiXed")).alias("cased"))
 
 
+def _spelling(spark, d):
+    return stage(lexicon(spark, d), "lexicon"), custom_words(spark, d)
+
+
 def q1_differences(spark, d):
-    return differences(entry_rows(spark, d), context(spark, d)).select("entry_id", "line", "key", "before", "after", "categories")
+    return differences(entry_rows(spark, d), context(spark, d), spelling=_spelling(spark, d)).select("entry_id", "line", "key", "before", "after", "categories")
 
 
 def u2_diff_report(spark, d):
-    return diff_report(entry_rows(spark, d), context(spark, d))
+    return diff_report(entry_rows(spark, d), context(spark, d), _spelling(spark, d))
 
 
 def _report(spark, d):
     rows = detect_language(entry_rows(spark, d).drop("lang_code"), table(spark, d, "languages"))
-    return routed(rows, context(spark, d))
+    spelling = _spelling(spark, d)
+    hits = stage(S.check_spelling(rows.where(F.col("lang_code").isin(list(K.ENGLISH))), *spelling), "hits")
+    return routed(rows, context(spark, d), hits, spelling=spelling)
 
 
 def q3_report(spark, d):
@@ -237,7 +243,7 @@ def q3_workbook(spark, d):
 
 
 def a1_run_stats(spark, d):
-    return run_stats(entry_rows(spark, d), context(spark, d))
+    return run_stats(entry_rows(spark, d), context(spark, d), _spelling(spark, d))
 
 
 def a2_file_stats(spark, d):
@@ -263,7 +269,9 @@ def q8_summary(spark, d):
 
 
 def k1_rewritten(spark, d):
-    return rewritten_lines(table(spark, d, "resource_lines"), context(spark, d))
+    codes = sorted(r.code for r in table(spark, d, "languages").select("code").limit(1000).collect())
+    lines = table(spark, d, "resource_lines").withColumn("lang_code", language_code(F.col("file"), codes))
+    return rewritten_lines(lines, context(spark, d), _spelling(spark, d))
 
 
 def k9_output_names(spark, d):

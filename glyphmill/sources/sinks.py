@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import fixed as K
 from glyphmill.operators.detect import Context
-from glyphmill.operators.fix import fix
+from glyphmill.operators.report import fix_all
 from glyphmill.sources.resources import line_parts
 
 
@@ -16,9 +16,12 @@ def output_name(file: Column, ending: str = ".FIXED.js") -> Column:
     return F.concat(F.regexp_replace(file, r"\.[^.]*$", ""), F.lit(ending))
 
 
-def rewritten_lines(lines: DataFrame, context: Context = Context()) -> DataFrame:
-    """``(file, line, text)``: entries with their fixed value in the normal layout, other lines as they stand."""
-    parts = fix(line_parts(lines), "value", context)
+def rewritten_lines(lines: DataFrame, context: Context = Context(), spelling: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(file, line, text)``: entries with their fixed value in the normal layout, other lines as they stand.
+
+    With ``spelling``, ``lines`` have a ``lang_code``.
+    """
+    parts = fix_all(line_parts(lines).withColumn("_id", F.concat_ws("\n", "file", "line")), "value", context, spelling, "_id")
     semi = F.when(F.coalesce(F.regexp_replace("semi", r"\s", ""), F.lit("")) == "", F.lit(";")).otherwise(F.col("semi"))
     entry = F.concat("indent", F.lit(K.PREFIX), "key", F.lit(' = "'), "fixed", F.lit('"'), semi, "trail")
     return parts.select("file", "line", F.when(F.col("is_entry"), entry).otherwise(F.col("raw")).alias("text"))

@@ -145,3 +145,18 @@ def test_entry_point(spark, sf):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_reports_correct_spelling(spark):
+    from glyphmill.operators.report import differences, routed
+    from glyphmill.operators.spelling import check_spelling
+    from glyphmill.sources.sinks import rewritten_lines
+
+    lexicon = spark.createDataFrame([("please", 9), ("select", 9), ("order", 9)], "word string, freq bigint")
+    spelling = lexicon, spark.createDataFrame([], "word string")
+    rows = spark.createDataFrame([(1, "a_en.js", 1, "k", "Please selcet order", "en")], "entry_id bigint, file string, line int, key string, value string, lang_code string")
+    assert [(r.after, r.categories) for r in differences(rows, spelling=spelling).collect()] == [("Please select order", "Spelling (dictionary correction)")]
+    r = routed(rows, hits=check_spelling(rows, *spelling), spelling=spelling).first()
+    assert (r.category, r.n_spelling, r.suggested, r.changes_applied) == ("Spelling", 1, "Please select order", "Spelling (dictionary correction)")
+    lines = spark.createDataFrame([("a_en.js", 1, 'languageResource.k = "Please selcet order";', "en")], "file string, line int, raw string, lang_code string")
+    assert rewritten_lines(lines, spelling=spelling).first().text == 'languageResource.k = "Please select order";'
