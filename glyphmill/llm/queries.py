@@ -71,6 +71,12 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return terms.value_counts(_t(spark, d, "parse_entries"))
 
 
+def p5_marked_values(spark: SparkSession, d: str) -> DataFrame:
+    from glyphmill.llm import terms
+
+    return terms.p5_marked_values(_t(spark, d, "parse_entries"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from glyphmill.llm import lookalikes
 
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p5_values": p5_values,
+    "p5_marked_values": p5_marked_values,
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
     "p7_ids": p7_ids,

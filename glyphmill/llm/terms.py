@@ -141,6 +141,12 @@ def marked(counts: DataFrame, n_records: int, rare_below: int = 3, common_share:
     return counts.withColumn("mark", mark)
 
 
+def p5_marked_values(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """``value_counts`` with the number of records, here the same, and the mark of every value."""
+    counts = value_counts(df, value_col)
+    return marked(counts.withColumn("records", F.col("occurrences")), df.where(F.col(value_col).isNotNull()).count())
+
+
 def p5_terms(df: DataFrame) -> DataFrame:
     n = df.where("value is not null").count()
     return marked(term_counts(df), n)

@@ -83,6 +83,12 @@ def test_term_counts_equal_brute_force(spark):
 TEXTS = ["", "Hello world", "  two  spaces\n\n\nend ", "don't we'll 'tis", "naïve café ½kg Ⅷ x_1", "数据处理。テスト", "👷🏽‍♀️ ok", "a\x1cb\x85c\xa0d", "x" * 3000, "<|endoftext|> text", "ก็ที่ हिन्दी 123abc"]
 
 
+def test_values_are_marked(spark):
+    rows = [(i, "f", "K", "same" if i < 5 else f"v{i // 3}", "en") for i in range(1, 101)]
+    got = {r.value: (r.occurrences, r.records, r.mark) for r in terms.p5_marked_values(table(spark, rows)).collect()}
+    assert got["same"] == (4, 4, "common") and got["v33"] == (2, 2, "rare")
+
+
 def test_tokens_equal_the_library_and_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
