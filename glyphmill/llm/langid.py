@@ -183,9 +183,12 @@ def source_code(source: Column, codes: list[str]) -> Column:
 def training_rows(df: DataFrame, codes: list[str], value_col: str, label_col: str, source_col: str, id_col: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """About ``per_language`` (language, text) rows of each language whose label the source confirms."""
     rows = df.select(F.col(id_col).alias("id"), F.col(value_col).alias("v"), label_code(F.col(label_col)).alias("l"), source_code(F.col(source_col), codes).alias("s"))
-    rows = rows.where((F.col("l") == F.col("s")) & F.col("v").isNotNull() & (F.length("v") >= 20))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = {c: n for c, n in counts.items() if n >= LEAST}
+    rows = rows.where(F.col("l").isin(codes) & F.coalesce(F.col("l") == F.col("s"), F.lit(True)) & F.col("v").isNotNull() & (F.length("v") >= 20))
+    sums = {r.l: r for r in rows.groupBy("l").agg(F.count("s").alias("sure"), F.count(F.lit(1)).alias("n")).collect() if r.sure}
+    # languages short of confirmed rows also learn from delivered labels in sources without a code
+    short = [c for c, r in sums.items() if r.sure < LEAST]
+    rows = rows.where(F.col("s").isNotNull() | F.col("l").isin(short))
+    counts = {c: r.n if c in short else r.sure for c, r in sums.items()}
     if not counts:
         return []
     keep = F.coalesce(*[F.when(F.col("l") == c, F.lit(int(2**31 * min(1.0, per_language / n)))) for c, n in sorted(counts.items())], F.lit(0))

@@ -357,6 +357,12 @@ def test_languages_on_held_out_values(spark, sf):
     assert sum(c == g for c, g in single) >= 0.97 * len(single) and len(single) >= 0.9 * len(held)
 
 
+def test_languages_with_few_confirmed_rows_are_trained(spark):
+    rows = [(i, "a_sv.js" if i < 3 else "plain.js", f"k{i}", f"En svensk text med nummer {i}", "sv") for i in range(10)]
+    got = langid.training_rows(table(spark, rows), ["de", "sv"], "value", "lang", "file", "entry_id")
+    assert len(got) == 10 and {c for c, _ in got} == {"sv"}
+
+
 def test_segments_of_mixed_values(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     out = langid.p2_found(spark.read.parquet(f"{big}/parse_entries.parquet"), spark.read.parquet(f"{big}/languages.parquet"))
