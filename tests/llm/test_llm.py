@@ -178,7 +178,7 @@ def test_leaks(spark):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in leaks.p8_found(df, items).collect()}
     assert got == {(1, 1), (2, 1), (6, 1), (8, 1), (8, 2)}
-    assert {(r.doc_id, r.item_id) for r in leaks.leaks(df, items, block=1).collect()} == got
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(df, items, local_chars=0).collect()} == got
     assert leaks.p8_found(df.where("false"), items).count() == 0 and leaks.p8_found(df, items.where("false")).count() == 0
 
 
