@@ -16,8 +16,9 @@ most frequent ``MAX_BIGRAMS`` are broadcast, a table of fixed size.  A second na
 pass scores every non-ASCII record by all chains that can have made it, weak and
 negative evidence included.  Per source, records are reduced to counts of
 rounded evidence profiles with map-side combination, so the EM of a source reads
-profiles, not records, however large the source is.  The shares are joined back
-to the few suspicious records.
+profiles, not records; sources with more than ``HOT_PROFILES`` profiles are fitted by
+one combined aggregation for each iteration, so none is ever read by one task.  The
+shares are joined back to the records.
 
 Defined cases: null, empty and ASCII values are clean; a null source is a source
 of its own; repeated rows have equal results; ties between chains go to the
@@ -30,6 +31,7 @@ import codecs
 import math
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,12 +53,15 @@ UNSEEN = 6.0
 #: Prior share of garbled records in a source, and its weight in records.
 PRIOR, WEIGHT = 0.01, 30.0
 ITERATIONS = 8
+#: Profiles of a source from which on its shares are fitted by aggregations instead of in one task.
+HOT_PROFILES = 200_000
 #: Texts a worker remembers.
 KNOWN = 100_000
 
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp1253", "cp1254", "cp874")
 STORED_AS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "iso8859-7", "cp874", "cp437", "cp850", "mac_roman", "mac_cyrillic", "cp932", "gbk", "big5", "euc_kr", "euc_jp")
 MULTI = ("cp932", "gbk", "big5", "euc_kr", "euc_jp")
+SINGLE = frozenset(STORED_AS) - frozenset(MULTI)
 WIDE = ("gbk", "cp932", "big5", "euc_kr")
 #: (stored as, read as); a doubled name is a chain applied twice.
 CHAINS = (
@@ -113,6 +118,17 @@ def _single(stored: str, read: str) -> dict[int, str | None]:
     return out
 
 
+@lru_cache(maxsize=32)
+def _sequence(codec: str):
+    """Pattern of what the bytes of a character in UTF-8 look like in a codec."""
+    table = to_bytes(codec)
+
+    def some(lo: int, hi: int) -> str:
+        return "[" + "".join(re.escape(chr(c)) for c, b in table.items() if lo <= b <= hi) + "]"
+
+    return re.compile(f"{some(0xC2, 0xF4)}{some(0x80, 0xBF)}")
+
+
 def _undo_utf8(text: str, codec: str) -> str:
     def fix(m):
         run = m.group()
@@ -224,14 +240,36 @@ class Bigrams:
     """Log shares of character bigrams of plain forms."""
 
     def __init__(self, rows: list[tuple[int, int]], total: int):
+        import numpy as np
+
         self.floor = math.log(0.3 / max(total, 1))
         self.logs = {chr(k >> 21) + chr(k & 0x1FFFFF): math.log(n / max(total, 1)) for k, n in rows}
+        ordered = sorted(rows) or [(-1, 1)]
+        self.keys = np.array([k for k, _ in ordered], np.int64)
+        self.values = np.log(np.array([n for _, n in ordered], np.float64) / max(total, 1))
 
     def score(self, text: str, unseen: float = 0.0) -> float:
         """Log likelihood of the bigrams in a text; ``unseen`` is a further penalty for every bigram the collection does not hold."""
-        get, floor, t = self.logs.get, self.floor - unseen, plain(text)[1:-1]
+        return self.sum(plain(text)[1:-1], unseen)
+
+    def sum(self, t: str, unseen: float = 0.0) -> float:
+        """The same of a plain form."""
+        get, floor = self.logs.get, self.floor - unseen
         return sum([get(t[i : i + 2], floor) for i in range(len(t) - 1)])
 
+    def ends(self, left: str, t: str, right: str, unseen: float = 0.0) -> float:
+        """Log likelihood of what a plain form adds between two characters."""
+        get, floor = self.logs.get, self.floor - unseen
+        return get(left + t[0], floor) + get(t[-1] + right, floor) if t else get(left + right, floor)
+
+    def logs_of(self, first, second, unseen: float = 0.0):
+        """Logs of bigrams given as arrays of codes."""
+        import numpy as np
+
+        asked = (first << 21) | second
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where(self.keys[at] == asked, self.values[at], self.floor - unseen)
+
 
 #: Marks that stand inside words of clean text.
 _INSIDE = frozenset("’‘ʼ·‧・–—‑/…")
@@ -298,6 +336,105 @@ _RUN = re.compile("([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 #: Chains that change a run whatever stands beside it, and those that read ASCII as second bytes.
 _LOCAL = [k for k, (r, w) in enumerate(CHAINS) if r not in MULTI and w not in WIDE]
 _WORDS = [k for k in range(len(CHAINS)) if k not in set(_LOCAL)]
+_UTF8 = [k for k in _LOCAL if CHAINS[k][0].startswith("utf-8")]
+
+
+#: Chains of two single-byte encodings, and the classes of characters in their texts.
+_PLAIN_CHAINS = [k for k, (r, _) in enumerate(CHAINS) if r in SINGLE]
+_STRAY_CHAR, _ALPHA, _LATIN_CHAR, _OTHER_CHAR, _SLOW = 1, 2, 4, 8, 16
+_LATIN_SET, _OTHER_SET = re.compile(f"[{_LATIN}]"), re.compile(f"[{_OTHER}]")
+
+
+@lru_cache(maxsize=100_000)
+def _kinds(c: str) -> tuple[int, int]:
+    """Code of a character's plain form, and its classes."""
+    kind = _STRAY_CHAR * (c > "\x7f" and category(c) in _STRAYS) + _ALPHA * c.isalpha()
+    kind += _LATIN_CHAR * bool(_LATIN_SET.match(c)) + _OTHER_CHAR * bool(_OTHER_SET.match(c))
+    flat = _folded(c).lower()
+    # forms of several characters, and what depends on its neighbours, take the general way
+    return (ord(flat), kind) if len(flat) == 1 and c not in "Σ\xa0\xad" else (0, kind + _SLOW)
+
+
+@lru_cache(maxsize=200_000)
+def _can(c: str):
+    """For a character and each chain of single bytes: the character before it (-1: none), its plain form and classes."""
+    import numpy as np
+
+    made = np.full(len(_PLAIN_CHAINS), ord(c), np.int64)
+    for i, k in enumerate(_PLAIN_CHAINS):
+        stored, read = CHAINS[k]
+        if c in _reach()[read]:
+            got = _single(stored, read)[ord(c)]
+            made[i] = -1 if got is None else ord(got)
+    flat, kind = zip(*(_kinds(chr(x)) if x >= 0 else (0, 0) for x in made.tolist()))
+    return made, np.array(flat, np.int64), np.array(kind, np.int64)
+
+
+class _Variants:
+    """What the chains that work on runs make of a run; only the bigrams at its ends depend on what stands beside it."""
+
+    def __init__(self, text: str, model: Bigrams):
+        import numpy as np
+
+        self.model, self.crossed = model, {}
+        codes = np.array([ord(c) for c in text])
+        parts = [_can(c) for c in text]
+        made = np.stack([x[0] for x in parts], axis=1)
+        self.flat, self.kinds = np.stack([x[1] for x in parts], axis=1), np.stack([x[2] for x in parts], axis=1)
+        new = ~np.isin(made, codes)
+        self.same = (made == codes).all(axis=1)
+        self.bad = (made < 0).any(axis=1) | (new & (self.kinds & _STRAY_CHAR > 0)).any(axis=1)
+        self.able = np.zeros(len(CHAINS), bool)
+        self.able[_PLAIN_CHAINS] = ~self.bad & (new & (self.kinds & _ALPHA > 0)).any(axis=1)
+        self.inner = model.logs_of(self.flat[:, :-1], self.flat[:, 1:], UNSEEN).sum(axis=1)
+        # the other chains, and texts whose plain form is not one of single characters
+        slow = ~self.same & ~self.bad & (self.kinds & _SLOW > 0).any(axis=1)
+        self.rest = [(i, _PLAIN_CHAINS[i], "".join(map(chr, made[i]))) for i in np.flatnonzero(slow).tolist()]
+        for k in _UTF8:
+            fixed = undo(text, *CHAINS[k]) if _sequence(CHAINS[k][1]).search(text) else None
+            if fixed is not None:
+                self.rest.append((-1, k, fixed))
+                self.able[k] = "\ufffd" not in fixed
+        self.forms = {t: (p := plain(t)[1:-1], model.sum(p, UNSEEN)) for t in {t for _, _, t in self.rest}}
+        self.plain = plain(text)[1:-1]
+        self.base = model.sum(self.plain)
+
+    def gains(self, left: str, right: str):
+        """Gain of every chain where the run stands between two characters."""
+        import numpy as np
+
+        out, m = np.zeros(len(CHAINS)), self.model
+        sides = left.isalpha(), right.isalpha()
+        crossed = self.crossed.get(sides)
+        if crossed is None:
+            crossed = self.crossed[sides] = self.mixed(*sides)
+        left, right = left.lower(), right.lower()
+        base = self.base + m.ends(left, self.plain, right)
+        gain = self.inner + m.logs_of(ord(left), self.flat[:, 0], UNSEEN) + m.logs_of(self.flat[:, -1], ord(right), UNSEEN) - base
+        gain[crossed] = -np.inf
+        gain[self.same] = 0.0
+        gain[self.bad] = -np.inf
+        out[_PLAIN_CHAINS] = gain
+        for i, k, fixed in self.rest:
+            if "\ufffd" in fixed or i >= 0 and crossed[i]:
+                out[k] = -np.inf
+            else:
+                form, inner = self.forms[fixed]
+                out[k] = inner + m.ends(left, form, right, UNSEEN) - base
+        return out
+
+    def mixed(self, left: bool, right: bool):
+        """Chains whose text has a word of mixed scripts, where letters may stand beside it."""
+        import numpy as np
+
+        n = len(self.kinds)
+        latin, other, out = np.full(n, left), np.zeros(n, bool), np.zeros(n, bool)
+        for kinds in self.kinds.T:
+            letter = kinds & _ALPHA > 0
+            latin = letter & (latin | (kinds & _LATIN_CHAR > 0))
+            other = letter & (other | (kinds & _OTHER_CHAR > 0))
+            out |= latin & other
+        return out | (other & right)
 
 
 class Scorer:
@@ -306,48 +443,73 @@ class Scorer:
     def __init__(self, model: Bigrams):
         self.model = model
         self.straight: dict[str, str] = {}
-        self.memo: dict[tuple[str, str, int], tuple] = {}
+        self.runs: dict[str, _Variants] = {}
+        self.memo: dict[tuple[str, bool, bool, int], tuple] = {}
+        self.words: dict[str, tuple] = {}
         self.known: dict[str, list[tuple[int, float]]] = {}
         self.strange: dict[str, object] = {}
 
-    def judged(self, text: str, edges: str, chains: list[int]):
-        """Gain of each chain on a part of a text (-inf: it cannot have made it) and whether the chain accounts for a change."""
+    def judged_word(self, word: str):
+        """The same for the chains that read a whole word, by distinct bytes."""
         import numpy as np
 
-        key = text, edges, len(chains)
-        got = self.memo.get(key)
+        got = self.words.get(word)
+        if got is None and word.isascii():  # nothing is left of what was not ASCII
+            got = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool)
         if got is None:
-            if len(self.memo) > KNOWN:
-                self.memo.clear()
-            gain, able, scores = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool), {}
-            left, right = edges
-            base = self.model.score(left + text + right)
-            reach = {w for w, high in _reach().items() if not high.isdisjoint(text)}
-            for k in chains:
+            if len(self.words) > KNOWN:
+                self.words.clear()
+            gain, able = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool)
+            high, own = {c for c in word if c > "\x7f"}, set(word)
+            base = self.model.score(f" {word} ")
+            decoded: dict[tuple[bytes, str], str | None] = {}
+            scores: dict[tuple[str, bool], tuple[float, bool]] = {}
+            raws = {w: _bytes(word, w) for w, reach in _reach().items() if high <= reach}
+            touched = set(raws) if len(raws) == len(READ_AS) else {w for w, reach in _reach().items() if not high.isdisjoint(reach)}
+            for k in _WORDS:
                 stored, read = CHAINS[k]
-                if read not in reach and read not in WIDE:
+                if read in raws:
+                    raw = raws[read], stored
+                    if raw not in decoded:
+                        try:
+                            decoded[raw] = raw[0].decode(stored)
+                        except UnicodeDecodeError:
+                            decoded[raw] = None
+                    fixed = decoded[raw]
+                elif read in touched or read in WIDE:
+                    fixed = undo(word, stored, read)
+                    if fixed is None and _stays(word, stored, read):
+                        fixed = word
+                else:
                     continue
-                fixed = undo(text, stored, read)
                 if fixed is None:
-                    if not _stays(text, stored, read):
-                        gain[k] = -np.inf
-                    continue
-                got = scores.get((fixed, stored in MULTI, stored[:5] == "utf-8"))
-                if got is None:
-                    full = left + fixed + right
-                    if "�" in fixed or not stored.startswith("utf-8") and not _possible(full, left + text + right):
-                        got = -np.inf, False
-                    else:
-                        got = self.model.score(full, UNSEEN) - base, stored.startswith("utf-8") or any(c.isalpha() for c in set(fixed) - set(text))
-                    if stored in MULTI:
-                        got = got[0] - 2 * UNSEEN * len(_TOUCHING.findall(full)), got[1]
-                    scores[fixed, stored in MULTI, stored[:5] == "utf-8"] = got
-                gain[k], able[k] = got
-                if stored in MULTI and max(fixed) < "⺀":
-                    able[k] = False
-            got = self.memo[key] = gain, able
+                    gain[k] = -np.inf
+                elif fixed != word:
+                    multi = stored in MULTI
+                    got = scores.get((fixed, multi))
+                    if got is None:
+                        got = scores[fixed, multi] = self._word_score(fixed, own, base, multi)
+                    gain[k], able[k] = got
+            got = self.words[word] = gain, able
         return got
 
+    def _word_score(self, fixed: str, own: set[str], base: float, multi: bool) -> tuple[float, bool]:
+        """Gain of a word's candidate, and whether it accounts for a change."""
+        if "\ufffd" in fixed:
+            return -math.inf, False
+        if not multi:
+            return self.model.score(f" {fixed} ", UNSEEN) - base, True
+        new = every = 0
+        for c in set(fixed):
+            kind = _kinds(c)[1]
+            every |= kind
+            if c not in own:
+                new |= kind
+        if new & _STRAY_CHAR or (every & _LATIN_CHAR and every & _OTHER_CHAR and _mixed(fixed)):
+            return -math.inf, False
+        full = f" {fixed} "
+        return self.model.score(full, UNSEEN) - base - 2 * UNSEEN * len(_TOUCHING.findall(full)), bool(new & _ALPHA) and max(fixed) >= "⺀"
+
     def foreign(self, word: str):
         """Chains by which a word of Latin letters outside ASCII becomes one of another script."""
         import numpy as np
@@ -364,31 +526,46 @@ class Scorer:
             self.strange[word] = got
         return got
 
+    def judged(self, word: str, first: bool, last: bool, beside: int):
+        """Gain of each chain on a word and its runs, beside so many ASCII words, and whether the chain accounts for a change."""
+        key = word, first, last, beside
+        got = self.memo.get(key)
+        if got is None:
+            if len(self.memo) > KNOWN:
+                self.memo.clear()
+                self.runs.clear()
+            plain = self.straight.get(word)
+            if plain is None:
+                if len(self.straight) > KNOWN:
+                    self.straight.clear()
+                plain = self.straight[word] = unmixed(word)
+            gain, able = (x.copy() for x in self.judged_word(plain))
+            for m in _RUN.finditer(plain):
+                left, text, right = m.groups()
+                if _reached().isdisjoint(text):
+                    continue  # no chain that works on runs changes it
+                run = self.runs.get(text)
+                if run is None:
+                    run = self.runs[text] = _Variants(text, self.model)
+                gain += run.gains(left or ("\n" if first else " "), right or ("\n" if last else " "))
+                able |= run.able
+            if beside:  # words of two scripts stand side by side as seldom as unknown bigrams
+                gain -= UNSEEN * beside * self.foreign(plain)
+            got = self.memo[key] = gain, able
+        return got
+
     def chains(self, text: str) -> list[tuple[int, float]]:
         """(chain, evidence) of all chains that can have made the text."""
         import numpy as np
 
-        words, straight = text.split(" "), []
-        gain, able = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool)
+        words = text.split(" ")
+        simple = [w.isascii() and any(map(str.isalpha, w)) for w in words]
+        gain, able, last = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool), len(words) - 1
         for at, w in enumerate(words):
             if not w.isascii():
-                known = self.straight.get(w)
-                if known is None:
-                    if len(self.straight) > KNOWN:
-                        self.straight.clear()
-                    known = self.straight[w] = unmixed(w)
-                w = known
-                g, a = self.judged(w, "  ", _WORDS)
-                gain = gain + g
+                g, a = self.judged(w, at == 0, at == last, (at > 0 and simple[at - 1]) + (at < last and simple[at + 1]))
+                gain += g
                 able |= a
-                beside = sum(x.isascii() and any(map(str.isalpha, x)) for x in words[max(0, at - 1) : at + 2])
-                if beside:  # words of two scripts stand side by side as seldom as unknown bigrams
-                    gain = gain - UNSEEN * beside * self.foreign(w)
-            straight.append(w)
-        for m in _RUN.finditer(" ".join(straight)):
-            g, a = self.judged(m.group(2), (m.group(1) or "\n") + (m.group(3) or "\n"), _LOCAL)
-            gain = gain + g
-            able |= a
         return [(int(k), float(gain[k])) for k in np.flatnonzero(able & (gain > NONE))]
 
     def candidates(self, text: str) -> list[tuple[int, float]]:
@@ -402,17 +579,40 @@ class Scorer:
         return found
 
 
+@lru_cache(maxsize=1)
+def _reached() -> frozenset[str]:
+    """Non-ASCII characters of all single-byte codecs."""
+    return frozenset().union(*_reach().values())
+
+
 @lru_cache(maxsize=1)
 def _reach() -> dict[str, frozenset[str]]:
     """Non-ASCII characters of each single-byte codec."""
     return {w: frozenset(chr(c) for c, b in to_bytes(w).items() if b > 127) for w in READ_AS}
 
 
+_made: dict[int, Scorer] = {}
+
+
+def _scorer(key: int, model: tuple[list[tuple[int, int]], int]) -> Scorer:
+    """The worker's scorer for a model; kept from task to task, with what it has judged."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = Scorer(Bigrams(*model))
+    return _made[key]
+
+
+_STRAYS = frozenset(("Cc", "Cf", "Cn", "Co", "Cs", "Zs", "Zl", "Zp"))
+
+
+def _strays(text: str, before: str) -> bool:
+    """Whether a part brings control characters or spaces."""
+    return any(c > "\x7f" and category(c) in _STRAYS for c in set(text) - set(before))
+
+
 def _possible(text: str, before: str) -> bool:
     """Whether a part brings no stray characters and no word of mixed scripts."""
-    if any(c > "\x7f" and category(c) in ("Cc", "Cf", "Cn", "Co", "Cs", "Zs", "Zl", "Zp") for c in set(text) - set(before)):
-        return False
-    return not _mixed(text)
+    return not _strays(text, before) and not _mixed(text)
 
 
 def _stays(text: str, stored: str, read: str) -> bool:
@@ -465,12 +665,13 @@ def scored_records(df: DataFrame, id_col: str, value_col: str, source_col: str)
     rows = rows.where(F.col("value").rlike(r"[^\p{ASCII}]"))
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(bigram_counts(rows.select("value")))
+    number = uuid.uuid4().int
     id_type, source_type = df.schema[id_col].dataType.simpleString(), df.schema[source_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer = Scorer(Bigrams(*shared.value))
+        scorer = _scorer(number, shared.value)
         for batch in batches:
             at, lossy, chains, gains = [], [], [], []
             for k, v in enumerate(batch.column(2).to_pylist()):
@@ -503,24 +704,63 @@ def _weight(chain: int) -> int:
 
 def shares(profiles: list[tuple[list[int], list[float], int]], total: int) -> dict[int, float]:
     """Log shares of the chains in one source by EM over evidence profiles; chain -1 is clean."""
-    used = sorted({c for chains, _, _ in profiles for c in chains})
-    base = {c: PRIOR * _weight(c) / sum(map(_weight, range(len(CHAINS)))) for c in used}
-    share = dict(base)
-    clean = 1 - PRIOR
-    odds = [(chains, [math.exp(min(g, MOST)) for g in gains], n) for chains, gains, n in profiles]
+    import numpy as np
+
+    sizes = np.array([len(c) for c, _, _ in profiles], np.int64)
+    chain = np.concatenate([np.asarray(c, np.int64) for c, _, _ in profiles]) if len(sizes) else np.zeros(0, np.int64)
+    factor = np.exp(np.minimum(np.concatenate([np.asarray(g, float) for _, g, _ in profiles]), MOST)) if len(sizes) else np.zeros(0)
+    profile, n = np.repeat(np.arange(len(sizes)), sizes), np.array([n for *_, n in profiles], float)
+    used = np.bincount(chain, minlength=len(CHAINS)) > 0
+    base = np.where(used, prior(), 0.0)
+    share, clean = base.copy(), 1 - PRIOR
+    for _ in range(ITERATIONS):
+        weight = share[chain] * factor
+        z = clean + np.bincount(profile, weight, len(sizes))
+        expected = np.bincount(chain, weight * (n / z)[profile], len(CHAINS))
+        share = np.where(used, (expected + WEIGHT * base) / (total + WEIGHT), 0.0)
+        clean = max(CLEAN, 1 - share.sum())
+    return {-1: math.log(clean)} | {int(c): math.log(share[c]) for c in np.flatnonzero(used)}
+
+
+def prior():
+    """Prior share of every chain."""
+    import numpy as np
+
+    weights = np.array([_weight(k) for k in range(len(CHAINS))], float)
+    return PRIOR * weights / weights.sum()
+
+
+def hot_shares(profiles: DataFrame) -> DataFrame:
+    """The same EM for sources of any size: each iteration is one aggregation over profiles, combined before the shuffle.
+
+    ``profiles`` has source, chains, gains, n and total; the result has one row per
+    source with the logs of its shares by chain, clean first.
+    """
+    rows = stage(profiles.select("source", "total", "n", "chains", F.transform("gains", lambda g: F.exp(F.least(g, F.lit(MOST)))).alias("factors")), "hot-profiles")
+    base = F.array(*[F.lit(float(x)) for x in prior()])
+    used = rows.select("source", "total", F.explode("chains").alias("k")).groupBy("source").agg(F.max("total").alias("total"), F.collect_set("k").alias("used"))
+    places = F.sequence(F.lit(0), F.lit(len(CHAINS) - 1))
+    first = used.select("source", "total", F.transform(places, lambda k: F.when(F.array_contains("used", k), F.get(base, k)).otherwise(F.lit(0.0))).alias("base"))
+    state = stage(first.select("*", F.col("base").alias("share"), F.lit(1 - PRIOR).alias("clean")), "hot-shares")
     for _ in range(ITERATIONS):
-        expected = dict.fromkeys(used, 0.0)
-        for chains, factors, n in odds:
-            weights = [share[c] * x for c, x in zip(chains, factors)]
-            z = clean + sum(weights)
-            for c, w in zip(chains, weights):
-                expected[c] += n * w / z
-        share = {c: (e + WEIGHT * base[c]) / (total + WEIGHT) for c, e in expected.items()}
-        clean = max(CLEAN, 1 - sum(share.values()))
-    return {-1: math.log(clean)} | {c: math.log(s) for c, s in share.items()}
-
-
-def posteriors(df: DataFrame, id_col: str = "entry_id", value_col: str = "value", source_col: str = "file") -> DataFrame:
+        joined = rows.drop("total").join(state.select("source", "share", "clean"), "source")
+        joined = joined.select("source", "n", "chains", "clean", F.zip_with("chains", "factors", lambda k, x: F.get(F.col("share"), k) * x).alias("w"))
+        z = F.col("clean") + F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x)
+        parts = joined.withColumn("z", z).select("source", F.explode(F.arrays_zip("chains", "w")).alias("x"), (F.col("n") / F.col("z")).alias("f"))
+        sums = parts.groupBy("source", F.col("x.chains").alias("k")).agg(F.sum(F.col("x.w") * F.col("f")).alias("expected"))
+        sums = sums.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("k", "expected"))).alias("expected"))
+        place = F.posexplode("base").alias("k", "b")
+        spread = state.join(sums, "source").select("source", "total", "base", "expected", place)
+        share = F.when(F.col("b") > 0, (F.coalesce(F.try_element_at("expected", F.col("k")), F.lit(0.0)) + WEIGHT * F.col("b")) / (F.col("total") + WEIGHT)).otherwise(F.lit(0.0))
+        fitted = spread.select("source", "total", "base", F.struct("k", share.alias("s")).alias("x")).groupBy("source").agg(F.first("total").alias("total"), F.first("base").alias("base"), F.array_sort(F.collect_list("x")).alias("x"))
+        fitted = fitted.select("source", "total", "base", F.transform("x", lambda x: x["s"]).alias("share"))
+        left = 1 - F.aggregate("share", F.lit(0.0), lambda acc, x: acc + x)
+        state = stage(fitted.withColumn("clean", F.greatest(left, F.lit(CLEAN))), "hot-shares")
+    logs = F.transform(F.concat(F.array("clean"), F.col("share")), lambda x: F.when(x > 0, F.log(x)))
+    return state.select("source", logs.alias("share"))
+
+
+def posteriors(df: DataFrame, id_col: str = "entry_id", value_col: str = "value", source_col: str = "file", hot_profiles: int = HOT_PROFILES) -> DataFrame:
     """``(id, lossy, chain, posterior, repaired)`` of every suspicious record, by its most probable chain."""
     spark = df.sparkSession
     scored = stage(scored_records(df, id_col, value_col, source_col), "evidence")
@@ -528,18 +768,24 @@ def posteriors(df: DataFrame, id_col: str = "entry_id", value_col: str = "value"
     rounded = F.transform("gains", lambda g: F.least(F.round(g / STEP) * STEP, F.lit(MOST)))
     profiles = scored.where(F.size("chains") > 0).groupBy(key.alias("source"), "chains", rounded.alias("gains")).agg(F.count(F.lit(1)).alias("n"))
     totals = df.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("\u0000")).alias("source")).agg(F.count(F.lit(1)).alias("total"))
+    profiles = stage(profiles.join(totals, "source"), "profiles")
 
     def em(key, pdf):
         import pandas as pd
 
-        found = shares([(list(c), list(g), int(n)) for c, g, n in zip(pdf["chains"], pdf["gains"], pdf["n"])], int(pdf["total"].iloc[0]))
-        return pd.DataFrame({"source": [key[0]], "chain": [list(found)], "share": [list(found.values())]})
+        found = shares([(c, g, int(n)) for c, g, n in zip(pdf["chains"], pdf["gains"], pdf["n"])], int(pdf["total"].iloc[0]))
+        return pd.DataFrame({"source": [key[0]], "share": [[found.get(c) for c in range(-1, len(CHAINS))]]})
 
-    fitted = stage(profiles.join(totals, "source").groupBy("source").applyInPandas(em, "source string, chain array<int>, share array<double>"), "shares")
+    hot = stage(profiles.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_profiles).select("source"), "hot-sources")
+    # a number of partitions of its own: the work is in the profiles, not in their bytes
+    light = profiles.join(hot, "source", "left_anti").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
+    fitted = light.groupBy("source").applyInPandas(em, "source string, share array<double>")
+    if not hot.isEmpty():
+        fitted = fitted.unionByName(hot_shares(profiles.join(hot, "source", "left_semi")))
+    fitted = stage(fitted, "shares")
     rows = scored.withColumn("source", key).join(fitted, "source", "left")
-    share = F.map_from_arrays("chain", "share")
-    logs = F.zip_with("chains", "gains", lambda c, g: F.coalesce(F.try_element_at(share, c), F.lit(-50.0)) + g)
-    rows = rows.select("id", "value", "lossy", "chains", logs.alias("logs"), F.coalesce(F.try_element_at(share, F.lit(-1)), F.lit(0.0)).alias("clean"))
+    logs = F.zip_with("chains", "gains", lambda c, g: F.coalesce(F.get(F.col("share"), c + 1), F.lit(-50.0)) + g)
+    rows = rows.select("id", "value", "lossy", "chains", logs.alias("logs"), F.coalesce(F.get("share", F.lit(0)), F.lit(0.0)).alias("clean"))
     best = F.array_position("logs", F.array_max("logs")).cast("int") - 1
     rows = rows.withColumn("best", F.when(F.size("logs") > 0, best))
     odds = F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + F.exp(F.least(x - F.col("clean"), F.lit(60.0))))
