@@ -59,6 +59,9 @@ HOT_PROFILES = 200_000
 KNOWN = 100_000
 
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp1253", "cp1254", "cp874")
+#: Texts of single bytes are not taken to be read as cp1253, cp1254 or cp874: with these, rare Greek and Thai values pass for
+#: misread ones (at scale 0.1 nine more records are found, all of them right as they stand, and none that was missed).
+SINGLE_READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "cp1250", "iso8859-2", "koi8-r")
 STORED_AS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp1253", "iso8859-7", "cp874", "cp437", "cp850", "mac_roman", "mac_cyrillic", "cp932", "gbk", "big5", "euc_kr", "euc_jp")
 MULTI = ("cp932", "gbk", "big5", "euc_kr", "euc_jp")
 SINGLE = frozenset(STORED_AS) - frozenset(MULTI)
@@ -68,7 +71,7 @@ CHAINS = (
     [("utf-8", w) for w in READ_AS]
     + [("utf-8 twice", w) for w in ("cp1252", "latin-1", "mac_roman")]
     + [("utf-8", w) for w in WIDE]
-    + [(r, w) for w in READ_AS[:10] for r in STORED_AS if r != w]
+    + [(r, w) for w in SINGLE_READ_AS for r in STORED_AS if r != w]
 )
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 

@@ -338,6 +338,40 @@ def test_weak_evidence_reaches_the_shares():
     assert share[chain] + against[chain] > share[-1]
 
 
+def test_sources_of_many_profiles_have_the_same_shares(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        text = CLEAN[i % 3].replace("1", str(i))
+        if rng.random() < 0.3:
+            text = text.encode("cp1251", "ignore").decode("cp1252", "ignore") if i % 3 == 2 else text.encode("utf-8").decode("cp1252", "ignore")
+        rows.append((i, None if i % 5 == 0 else f"f{i % 3}", "k", text + " " + "".join(rng.choice("éüżж") for _ in range(2)), "x"))
+    by = lambda n: {r.entry_id: (r.chain, r.repaired, round(r.posterior, 6)) for r in mojibake.posteriors(table(spark, rows), hot_profiles=n).collect()}
+    assert by(1) == by(1_000_000) and len(by(1)) > 300
+
+
+def test_repaired_text_is_the_planted_original(spark):
+    """Originals are planted by several chains; the share whose text comes back exactly is printed."""
+    kinds = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("cp1251", "latin-1"), ("cp1250", "latin-1"), ("latin-1", "mac_roman"), ("utf-8", "mac_roman")]
+    rows, want = [], {}
+    for i in range(3000):
+        text = (CLEAN[i % len(CLEAN)] + " " + CLEAN[(i // 7) % 2]).replace("1", str(i))
+        stored, read = kinds[i % len(kinds)]
+        garbled = None
+        if i % 25 == 0:
+            try:
+                garbled = text.encode(stored).decode(read)
+            except UnicodeError:
+                pass
+        if garbled and garbled != text:
+            want[i] = text
+        rows.append((i, f"f{i % 9}", "k", garbled or text, "x"))
+    got = {r.entry_id: r.repaired for r in mojibake.garbled(table(spark, rows)).collect()}
+    right = sum(got.get(i) == t for i, t in want.items())
+    print("planted", len(want), "found", len(want.keys() & got.keys()), "restored", right)
+    assert len(want) > 50 and right >= 0.9 * len(want) and len(got.keys() - want.keys()) <= 0.02 * len(want)
+
+
 def test_undo_round_trips():
     for stored, read in (("cp1251", "cp1252"), ("utf-8", "mac_roman"), ("iso8859-2", "latin-1"), ("cp932", "latin-1")):
         text = {"cp1251": "Привет, мир", "utf-8": "déjà vu", "iso8859-2": "zażółć", "cp932": "数量"}[stored]
