@@ -9,15 +9,17 @@ windows whose hash stands in two different texts are the anchors.  An anchor
 extends to the positions of all full-length windows around it, and these are
 compared by a 128-bit hash, so no pair of occurrences is ever formed.
 
-Plan.  Texts are told apart by a hash of the whole text, so copies of one text
-are one text in every step and are reported at the end by a group count; a batch
-keeps one copy of each.  A batch resolves the hashes it can by itself: where two
-texts of the batch share a hash, their entries are passed on at random with a
-single witness for others, hence a hash has at most one unresolved text per
-batch in the shuffle, however often a passage is repeated.  Entries travel as
-packed arrays by hash range.  The few anchors are staged as a table; the text
-join is a broadcast only where Spark finds that table below the session's
-threshold, and a shuffle join otherwise.
+Plan.  Texts are told apart by a hash of the whole text.  One scan writes a table of
+identifiers, hashes and lengths; copies of a text, known from that table, are taken
+out before anything is hashed and share the whole text at the end.  A batch resolves
+the hashes it can by itself: where two texts of the batch share a hash, their entries
+are passed on at random with a single witness for others, hence a hash has at most one
+unresolved text per batch in the shuffle, however often a passage is repeated.
+Entries travel as packed arrays to buckets of about ``BUCKET_ENTRIES`` entries, whose
+number comes from the length of all texts, so a task's memory does not grow with the
+input.  Positions of a text are gathered once each, as many as it has at most.  The
+few anchors are staged as a table; joins with it are broadcasts only where Spark
+finds it below the session's threshold, and shuffle joins otherwise.
 
 Defined cases: null texts and texts shorter than ``length`` have no spans; a
 repeat inside one document only is no shared span; documents with equal texts
@@ -28,6 +30,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +42,8 @@ from glyphmill.plans import stage
 #: Characters hashed together, and entries gathered before they are packed.
 BATCH_CHARS = 2_000_000
 BATCH_ENTRIES = 1_000_000
+#: Entries of a bucket, which one task compares.
+BUCKET_ENTRIES = 2_000_000
 
 
 @lru_cache(maxsize=16)
@@ -186,6 +191,8 @@ def _reduce(table):
     text, pos = text[hit], pos[hit]
     order = np.lexsort((pos, text))
     text, pos = text[order], pos[order]
+    once = np.r_[True, (text[1:] != text[:-1]) | (pos[1:] != pos[:-1])] if len(text) else np.zeros(0, bool)
+    text, pos = text[once], pos[once]
     first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(text)].astype(np.int32)), pa.array(pos.astype(np.int32)))
     return pa.table({"tid": pa.array(text[first]), "positions": lists})
@@ -264,26 +271,35 @@ def _repeated(texts: DataFrame, length: int, anchors: bool, n_buckets: int) -> D
         yield from flush()
 
     packed = texts.mapInArrow(hashed, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(_reduce, "tid bigint, positions array<int>")
+    # as many tasks as buckets, whatever the session's setting
+    return packed.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_reduce, "tid bigint, positions array<int>")
+
+
+def _buckets(entries: float) -> int:
+    return max(1, math.ceil(entries / BUCKET_ENTRIES))
 
 
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 240) -> DataFrame:
     """``(id_col, start_pos, end_pos)`` of all merged stretches of ``length`` characters found in another document."""
-    spark = df.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v, cover = cover_for(length)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= length)
-    hashed = docs.select("id", "text", F.xxhash64("text").alias("tid"), F.xxhash64(F.lit(7), "text").alias("tid2"))
-    near = _repeated(hashed.select("tid", "text"), length, True, n_buckets)
-    near = stage(near.groupBy("tid").agg(F.flatten(F.collect_list("positions")).alias("near")), "anchors")
-    close = hashed.join(near, "tid").select(F.col("tid2").alias("tid"), "text", "near")
-    starts = _repeated(close, length, False, n_buckets).groupBy("tid").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("p"))
+    tids = [F.xxhash64("text").alias("tid"), F.xxhash64(F.lit(7), "text").alias("tid2")]
+    keys = stage(docs.select("id", *tids, F.length("text").alias("n")), "texts")
+    copied = stage(keys.groupBy("tid", "tid2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("tid", "tid2", "lo"), "copied")
+    later = stage(keys.join(copied, ["tid", "tid2"]).where("id <> lo").select("id").distinct(), "later")
+    entries = keys.agg(F.sum(F.col("n") - length + v)).first()[0] or 0
+    one = docs.join(later, "id", "left_anti").select("text", *tids)
+    near = _repeated(one.select("tid", "text"), length, True, _buckets(entries * len(cover) / v))
+    near = stage(near.groupBy("tid").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("near")), "anchors")
+    reach = F.least(F.size("near") * v, F.array_max("near") - F.array_min("near") + v)
+    entries = near.agg(F.sum(reach.cast("bigint"))).first()[0] or 0
+    close = one.join(near, "tid").select(F.col("tid2").alias("tid"), "text", "near")
+    starts = _repeated(close, length, False, _buckets(entries)).groupBy("tid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("p"))
     # positions to spans: a new span begins where the gap to the last window is more than its length
     begin = F.filter("p", lambda x, i: (i == 0) | (x - F.get("p", i - 1) > length))
     end = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) - x > length))
     spans = starts.select("tid", F.explode(F.arrays_zip(begin.alias("b"), end.alias("e"))).alias("s"))
     spans = stage(spans.select(F.col("tid").alias("tid2"), F.col("s.b").alias("start_pos"), (F.col("s.e") + length).alias("end_pos")), "spans")
-    keys = hashed.select("id", "tid", "tid2", F.length("text").alias("n"))
-    copied = keys.groupBy("tid", "tid2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("tid", "tid2")
     whole = keys.join(copied, ["tid", "tid2"], "left_semi").select("id", F.lit(0).alias("start_pos"), F.col("n").alias("end_pos"))
     part = keys.join(copied, ["tid", "tid2"], "left_anti").join(spans, "tid2").select("id", "start_pos", "end_pos").distinct()
     return part.unionByName(whole.distinct()).withColumnRenamed("id", id_col)
