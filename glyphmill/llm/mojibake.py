@@ -339,6 +339,7 @@ _RUN = re.compile("([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 #: Chains that change a run whatever stands beside it, and those that read ASCII as second bytes.
 _LOCAL = [k for k, (r, w) in enumerate(CHAINS) if r not in MULTI and w not in WIDE]
 _WORDS = [k for k in range(len(CHAINS)) if k not in set(_LOCAL)]
+_WIDE_CHAINS = [k for k in _WORDS if CHAINS[k][1] in WIDE]
 _UTF8 = [k for k in _LOCAL if CHAINS[k][0].startswith("utf-8")]
 
 
@@ -463,15 +464,18 @@ class Scorer:
             if len(self.words) > KNOWN:
                 self.words.clear()
             gain, able = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool)
-            high, own = {c for c in word if c > "\x7f"}, set(word)
-            base = self.model.score(f" {word} ")
+            own = set(word)
+            high = {c for c in own if c > "\x7f"}
+            raws = {w: _bytes(word, w) for w, reach in _reach().items() if high <= reach}
+            touched = {w for w, reach in _reach().items() if not high.isdisjoint(reach)}
+            base = None
             decoded: dict[tuple[bytes, str], str | None] = {}
             scores: dict[tuple[str, bool], tuple[float, bool]] = {}
-            raws = {w: _bytes(word, w) for w, reach in _reach().items() if high <= reach}
-            touched = set(raws) if len(raws) == len(READ_AS) else {w for w, reach in _reach().items() if not high.isdisjoint(reach)}
-            for k in _WORDS:
+            for k in _WORDS if touched else _WIDE_CHAINS:
                 stored, read = CHAINS[k]
-                if read in raws:
+                if read in WIDE:
+                    fixed = _word_before(word, stored, read)
+                elif read in raws:
                     raw = raws[read], stored
                     if raw not in decoded:
                         try:
@@ -479,10 +483,8 @@ class Scorer:
                         except UnicodeDecodeError:
                             decoded[raw] = None
                     fixed = decoded[raw]
-                elif read in touched or read in WIDE:
-                    fixed = undo(word, stored, read)
-                    if fixed is None and _stays(word, stored, read):
-                        fixed = word
+                elif read in touched:
+                    fixed = _word_before(word, stored, read)
                 else:
                     continue
                 if fixed is None:
@@ -491,6 +493,8 @@ class Scorer:
                     multi = stored in MULTI
                     got = scores.get((fixed, multi))
                     if got is None:
+                        if base is None:
+                            base = self.model.score(f" {word} ")
                         got = scores[fixed, multi] = self._word_score(fixed, own, base, multi)
                     gain[k], able[k] = got
             got = self.words[word] = gain, able
@@ -613,23 +617,14 @@ def _strays(text: str, before: str) -> bool:
     return any(c > "\x7f" and category(c) in _STRAYS for c in set(text) - set(before))
 
 
-def _possible(text: str, before: str) -> bool:
-    """Whether a part brings no stray characters and no word of mixed scripts."""
-    return not _strays(text, before) and not _mixed(text)
-
-
-def _stays(text: str, stored: str, read: str) -> bool:
-    """Whether a chain that changes nothing leaves the part as it is, rather than being unable to have made it."""
-    if stored.startswith("utf-8") and read not in WIDE:
-        return True
-    if stored not in MULTI and read not in WIDE:
-        return _without(stored, read).isdisjoint(text)
+def _word_before(word: str, stored: str, read: str) -> str | None:
+    """The word before a chain that reads whole words, itself where the chain leaves it; None where the chain cannot have made it."""
     try:
         if read in WIDE:
-            return text.encode(read).decode("utf-8") == text
-        return _runs(read)[0].sub(lambda m: _bytes(m.group(), read).decode(stored), text) == text
+            return word.encode(read).decode("utf-8")
+        return _runs(read)[0].sub(lambda m: _bytes(m.group(), read).decode(stored), word)
     except UnicodeError:
-        return False
+        return None
 
 
 @lru_cache(maxsize=100_000)
@@ -705,24 +700,75 @@ def _weight(chain: int) -> int:
     return 50 if CHAINS[chain][0].startswith("utf-8") else 1
 
 
-def shares(profiles: list[tuple[list[int], list[float], int]], total: int) -> dict[int, float]:
-    """Log shares of the chains in one source by EM over evidence profiles; chain -1 is clean."""
+def fit(source, totals, sizes, chain, gain, n):
+    """Shares of the chains (a row for each source) and of clean records by EM over evidence profiles, all sources at once.
+
+    ``source``, ``sizes`` and ``n`` are given by profile, ``chain`` and ``gain`` by entry of a profile.
+    """
     import numpy as np
 
-    sizes = np.array([len(c) for c, _, _ in profiles], np.int64)
-    chain = np.concatenate([np.asarray(c, np.int64) for c, _, _ in profiles]) if len(sizes) else np.zeros(0, np.int64)
-    factor = np.exp(np.minimum(np.concatenate([np.asarray(g, float) for _, g, _ in profiles]), MOST)) if len(sizes) else np.zeros(0)
-    profile, n = np.repeat(np.arange(len(sizes)), sizes), np.array([n for *_, n in profiles], float)
-    used = np.bincount(chain, minlength=len(CHAINS)) > 0
+    many, width = len(totals), len(CHAINS)
+    factor = np.exp(np.minimum(gain, MOST))
+    profile = np.repeat(np.arange(len(sizes)), sizes)
+    place = source[profile] * width + chain
+    used = np.bincount(place, minlength=many * width).reshape(many, width) > 0
     base = np.where(used, prior(), 0.0)
-    share, clean = base.copy(), 1 - PRIOR
+    share, clean = base.copy(), np.full(many, 1 - PRIOR)
     for _ in range(ITERATIONS):
-        weight = share[chain] * factor
-        z = clean + np.bincount(profile, weight, len(sizes))
-        expected = np.bincount(chain, weight * (n / z)[profile], len(CHAINS))
-        share = np.where(used, (expected + WEIGHT * base) / (total + WEIGHT), 0.0)
-        clean = max(CLEAN, 1 - share.sum())
-    return {-1: math.log(clean)} | {int(c): math.log(share[c]) for c in np.flatnonzero(used)}
+        weight = share.ravel()[place] * factor
+        z = clean[source] + np.bincount(profile, weight, len(sizes))
+        expected = np.bincount(place, weight * (n / z)[profile], many * width).reshape(many, width)
+        share = np.where(used, (expected + WEIGHT * base) / (totals[:, None] + WEIGHT), 0.0)
+        clean = np.maximum(CLEAN, 1 - share.sum(axis=1))
+    return share, clean
+
+
+def shares(profiles: list[tuple[list[int], list[float], int]], total: int) -> dict[int, float]:
+    """Log shares of the chains in one source; chain -1 is clean."""
+    import numpy as np
+
+    sizes = np.array([len(c) for c, _, _ in profiles], np.int64)
+    chain, gain = np.array([k for c, _, _ in profiles for k in c], np.int64), np.array([x for _, g, _ in profiles for x in g], float)
+    share, clean = fit(np.zeros(len(sizes), np.int64), np.array([total], float), sizes, chain, gain, np.array([n for *_, n in profiles], float))
+    return {-1: math.log(clean[0])} | {int(c): math.log(share[0, c]) for c in np.flatnonzero(share[0])}
+
+
+def source_shares(batches: Iterator) -> Iterator:
+    """``(source, share)`` from profiles sorted by source, a few thousand at a time; a source is never cut."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def logs(table):
+        table = table.combine_chunks()
+        names = table.column("source").chunk(0)
+        cut = np.flatnonzero(np.r_[True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)])
+        source = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(names)]))
+        chains, gains = table.column("chains").chunk(0), table.column("gains").chunk(0)
+        totals, n = (table.column(c).to_numpy().astype(float) for c in ("total", "n"))
+        sizes = pc.list_value_length(chains).to_numpy()
+        share, clean = fit(source, totals[cut], sizes, chains.flatten().to_numpy().astype(np.int64), gains.flatten().to_numpy(), n)
+        with np.errstate(divide="ignore"):
+            both = np.log(np.c_[clean, share]).ravel()
+        values = pa.array(both, pa.float64(), mask=np.isinf(both))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1, dtype=np.int32) * (len(CHAINS) + 1)), values)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(cut)), lists], ["source", "share"])
+
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count >= 20_000:
+            table = pa.Table.from_batches(held)
+            last = table.column("source")[-1].as_py()
+            at = pc.index(table.column("source"), last).as_py()
+            if at:
+                yield logs(table.slice(0, at))
+            held, count = table.slice(at).to_batches(), table.num_rows - at
+    if held:
+        yield logs(pa.Table.from_batches(held))
 
 
 def prior():
@@ -773,16 +819,10 @@ def posteriors(df: DataFrame, id_col: str = "entry_id", value_col: str = "value"
     totals = df.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("\u0000")).alias("source")).agg(F.count(F.lit(1)).alias("total"))
     profiles = stage(profiles.join(totals, "source"), "profiles")
 
-    def em(key, pdf):
-        import pandas as pd
-
-        found = shares([(c, g, int(n)) for c, g, n in zip(pdf["chains"], pdf["gains"], pdf["n"])], int(pdf["total"].iloc[0]))
-        return pd.DataFrame({"source": [key[0]], "share": [[found.get(c) for c in range(-1, len(CHAINS))]]})
-
     hot = stage(profiles.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_profiles).select("source"), "hot-sources")
     # a number of partitions of its own: the work is in the profiles, not in their bytes
-    light = profiles.join(hot, "source", "left_anti").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
-    fitted = light.groupBy("source").applyInPandas(em, "source string, share array<double>")
+    light = profiles.join(hot, "source", "left_anti").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source").sortWithinPartitions("source")
+    fitted = light.select("source", "total", "n", "chains", "gains").mapInArrow(source_shares, "source string, share array<double>")
     if not hot.isEmpty():
         fitted = fitted.unionByName(hot_shares(profiles.join(hot, "source", "left_semi")))
     fitted = stage(fitted, "shares")
