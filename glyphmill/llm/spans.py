@@ -43,7 +43,7 @@ from glyphmill.plans import stage
 BATCH_CHARS = 2_000_000
 BATCH_ENTRIES = 1_000_000
 #: Entries of a bucket, which one task compares.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 500_000
 
 
 @lru_cache(maxsize=16)
@@ -169,12 +169,12 @@ def _unpack(blob: bytes):
     return h, g, texts[local], pos, np.zeros(n, np.uint8) if plain else take(np.uint8, n)
 
 
-def _reduce(table):
+def _reduce(blobs: list[bytes]):
     """(text, positions) of the entries of one bucket that are repeated in another text."""
     import numpy as np
     import pyarrow as pa
 
-    parts = [_unpack(b) for b in table.column("blob").to_pylist()]
+    parts = list(map(_unpack, blobs))
     h, g, text, pos, state = (np.concatenate(x) for x in zip(*parts))
     direct = state == 1
     order = np.lexsort((text, g, h))
@@ -271,8 +271,14 @@ def _repeated(texts: DataFrame, length: int, anchors: bool, n_buckets: int) -> D
         yield from flush()
 
     packed = texts.mapInArrow(hashed, "bucket int, blob binary")
-    # as many tasks as buckets, whatever the session's setting
-    return packed.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_reduce, "tid bigint, positions array<int>")
+
+    def reduced(batches: Iterator) -> Iterator:
+        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+        if blobs:
+            yield from _reduce(blobs).to_batches()
+
+    # one task for each bucket, whatever the session's setting
+    return packed.repartitionById(n_buckets, F.col("bucket")).mapInArrow(reduced, "tid bigint, positions array<int>")
 
 
 def _buckets(entries: float) -> int:
