@@ -32,15 +32,17 @@ import math
 import re
 import unicodedata
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from glyphmill.llm.lookalikes import CYRILLIC, GREEK, LOOKS, script, skeleton, units
+from glyphmill.llm.lookalikes import BACK, LOOKS, script, skeleton, units
 from glyphmill.plans import stage
 
 MAX_BIGRAMS = 300_000
@@ -187,7 +189,6 @@ def _folded(c: str) -> str:
 
 #: What is left of lead bytes before a no-break space or a soft hyphen that belongs to them.
 _PAIRED = re.compile("(?<=[\x80-\xff])[\xa0\xad]")
-_BACK = {"CYRILLIC": {v: k for k, v in reversed(CYRILLIC.items())}, "GREEK": {v: k for k, v in reversed(GREEK.items())}}
 
 
 def plain(text: str) -> str:
@@ -213,7 +214,7 @@ def unmixed(text: str) -> str:
             return token
         if all(c in LOOKS for c in token if script(c) != "LATIN"):
             return skeleton(token)
-        back = _BACK["CYRILLIC" if "CYRILLIC" in scripts else "GREEK"]
+        back = BACK["CYRILLIC" if "CYRILLIC" in scripts else "GREEK"]
         return "".join(back.get(c, c) for c in token)
 
     return text if text.isascii() else _TOKEN.sub(one, text)
@@ -243,8 +244,6 @@ class Bigrams:
     """Log shares of character bigrams of plain forms."""
 
     def __init__(self, rows: list[tuple[int, int]], total: int):
-        import numpy as np
-
         self.floor = math.log(0.3 / max(total, 1))
         self.logs = {chr(k >> 21) + chr(k & 0x1FFFFF): math.log(n / max(total, 1)) for k, n in rows}
         ordered = sorted(rows) or [(-1, 1)]
@@ -267,8 +266,6 @@ class Bigrams:
 
     def logs_of(self, first, second, unseen: float = 0.0):
         """Logs of bigrams given as arrays of codes."""
-        import numpy as np
-
         asked = (first << 21) | second
         at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
         return np.where(self.keys[at] == asked, self.values[at], self.floor - unseen)
@@ -345,6 +342,7 @@ _UTF8 = [k for k in _LOCAL if CHAINS[k][0].startswith("utf-8")]
 
 #: Chains of two single-byte encodings, and the classes of characters in their texts.
 _PLAIN_CHAINS = [k for k, (r, _) in enumerate(CHAINS) if r in SINGLE]
+_PLAIN_PLACES = np.array(_PLAIN_CHAINS)
 _STRAY_CHAR, _ALPHA, _LATIN_CHAR, _OTHER_CHAR, _SLOW = 1, 2, 4, 8, 16
 _LATIN_SET, _OTHER_SET = re.compile(f"[{_LATIN}]"), re.compile(f"[{_OTHER}]")
 
@@ -362,8 +360,6 @@ def _kinds(c: str) -> tuple[int, int]:
 @lru_cache(maxsize=200_000)
 def _can(c: str):
     """For a character and each chain of single bytes: the character before it (-1: none), its plain form and classes."""
-    import numpy as np
-
     made = np.full(len(_PLAIN_CHAINS), ord(c), np.int64)
     for i, k in enumerate(_PLAIN_CHAINS):
         stored, read = CHAINS[k]
@@ -371,29 +367,28 @@ def _can(c: str):
             got = _single(stored, read)[ord(c)]
             made[i] = -1 if got is None else ord(got)
     flat, kind = zip(*(_kinds(chr(x)) if x >= 0 else (0, 0) for x in made.tolist()))
-    return made, np.array(flat, np.int64), np.array(kind, np.int64)
+    return np.array([made, flat, kind], np.int64)
 
 
 class _Variants:
     """What the chains that work on runs make of a run; only the bigrams at its ends depend on what stands beside it."""
 
     def __init__(self, text: str, model: Bigrams):
-        import numpy as np
-
         self.model, self.crossed = model, {}
         codes = np.array([ord(c) for c in text])
-        parts = [_can(c) for c in text]
-        made = np.stack([x[0] for x in parts], axis=1)
-        self.flat, self.kinds = np.stack([x[1] for x in parts], axis=1), np.stack([x[2] for x in parts], axis=1)
-        new = ~np.isin(made, codes)
-        self.same = (made == codes).all(axis=1)
-        self.bad = (made < 0).any(axis=1) | (new & (self.kinds & _STRAY_CHAR > 0)).any(axis=1)
+        made, flat, kinds = np.stack([_can(c) for c in text], axis=2)
+        new = (made[:, :, None] != np.unique(codes)).all(axis=2)
+        self.gain = np.where((made == codes).all(axis=1), 0.0, -np.inf)
+        made_ok = (made >= 0).all(axis=1) & ~(new & (kinds & _STRAY_CHAR > 0)).any(axis=1)
+        # only chains that change the run and can have made it are looked at any further
+        self.open = np.flatnonzero((self.gain < 0) & made_ok)
+        made, new, self.flat, self.kinds = made[self.open], new[self.open], flat[self.open], kinds[self.open]
         self.able = np.zeros(len(CHAINS), bool)
-        self.able[_PLAIN_CHAINS] = ~self.bad & (new & (self.kinds & _ALPHA > 0)).any(axis=1)
+        self.able[_PLAIN_PLACES[self.open]] = (new & (self.kinds & _ALPHA > 0)).any(axis=1)
         self.inner = model.logs_of(self.flat[:, :-1], self.flat[:, 1:], UNSEEN).sum(axis=1)
         # the other chains, and texts whose plain form is not one of single characters
-        slow = ~self.same & ~self.bad & (self.kinds & _SLOW > 0).any(axis=1)
-        self.rest = [(i, _PLAIN_CHAINS[i], "".join(map(chr, made[i]))) for i in np.flatnonzero(slow).tolist()]
+        slow = (self.kinds & _SLOW > 0).any(axis=1)
+        self.rest = [(i, _PLAIN_CHAINS[self.open[i]], "".join(map(chr, made[i]))) for i in np.flatnonzero(slow).tolist()]
         for k in _UTF8:
             fixed = undo(text, *CHAINS[k]) if _sequence(CHAINS[k][1]).search(text) else None
             if fixed is not None:
@@ -405,8 +400,6 @@ class _Variants:
 
     def gains(self, left: str, right: str):
         """Gain of every chain where the run stands between two characters."""
-        import numpy as np
-
         out, m = np.zeros(len(CHAINS)), self.model
         sides = left.isalpha(), right.isalpha()
         crossed = self.crossed.get(sides)
@@ -416,9 +409,9 @@ class _Variants:
         base = self.base + m.ends(left, self.plain, right)
         gain = self.inner + m.logs_of(ord(left), self.flat[:, 0], UNSEEN) + m.logs_of(self.flat[:, -1], ord(right), UNSEEN) - base
         gain[crossed] = -np.inf
-        gain[self.same] = 0.0
-        gain[self.bad] = -np.inf
-        out[_PLAIN_CHAINS] = gain
+        every = self.gain.copy()
+        every[self.open] = gain
+        out[_PLAIN_PLACES] = every
         for i, k, fixed in self.rest:
             if "\ufffd" in fixed or i >= 0 and crossed[i]:
                 out[k] = -np.inf
@@ -429,8 +422,6 @@ class _Variants:
 
     def mixed(self, left: bool, right: bool):
         """Chains whose text has a word of mixed scripts, where letters may stand beside it."""
-        import numpy as np
-
         n = len(self.kinds)
         latin, other, out = np.full(n, left), np.zeros(n, bool), np.zeros(n, bool)
         for kinds in self.kinds.T:
@@ -455,8 +446,6 @@ class Scorer:
 
     def judged_word(self, word: str):
         """The same for the chains that read a whole word, by distinct bytes."""
-        import numpy as np
-
         got = self.words.get(word)
         if got is None and word.isascii():  # nothing is left of what was not ASCII
             got = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool)
@@ -519,8 +508,6 @@ class Scorer:
 
     def foreign(self, word: str):
         """Chains by which a word of Latin letters outside ASCII becomes one of another script."""
-        import numpy as np
-
         got = self.strange.get(word)
         if got is None:
             if len(self.strange) > KNOWN:
@@ -563,8 +550,6 @@ class Scorer:
 
     def chains(self, text: str) -> list[tuple[int, float]]:
         """(chain, evidence) of all chains that can have made the text."""
-        import numpy as np
-
         words = text.split(" ")
         simple = [w.isascii() and any(map(str.isalpha, w)) for w in words]
         gain, able, last = np.zeros(len(CHAINS)), np.zeros(len(CHAINS), bool), len(words) - 1
@@ -636,17 +621,16 @@ def bigram_counts(values: DataFrame, limit: int = MAX_BIGRAMS) -> tuple[list[tup
     """The most frequent character bigrams of the non-ASCII values that no chain explains, and the number of bigrams."""
 
     def count(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            values = [v for v in batch.column(0).to_pylist() if not any(map(explained, _DIGITS.sub("0", v).split(" ")))]
-            text = "".join(map(plain, values))
-            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-            k, n = np.unique((codes[:-1] << 21) | codes[1:], return_counts=True)
-            keys, at = np.unique(np.r_[keys, k], return_inverse=True)
-            counts = np.bincount(at, np.r_[counts, n]).astype(np.int64)
+            # values that differ in numbers only are read once
+            values = {plain(v): n for v, n in Counter(_DIGITS.sub("0", v) for v in batch.column(0).to_pylist()).items() if not any(map(explained, v.split(" ")))}
+            codes = np.frombuffer("".join(values).encode("utf-32-le"), np.uint32).astype(np.int64)
+            times = np.repeat(np.fromiter(values.values(), np.int64, len(values)), np.fromiter(map(len, values), np.int64, len(values)))
+            keys, at = np.unique(np.r_[keys, (codes[:-1] << 21) | codes[1:]], return_inverse=True)
+            counts = np.bincount(at, np.r_[counts, times[:-1]], len(keys)).astype(np.int64)
             if len(keys) > 2_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["k", "n"])
                 keys, counts = keys[:0], counts[:0]
@@ -705,8 +689,6 @@ def fit(source, totals, sizes, chain, gain, n):
 
     ``source``, ``sizes`` and ``n`` are given by profile, ``chain`` and ``gain`` by entry of a profile.
     """
-    import numpy as np
-
     many, width = len(totals), len(CHAINS)
     factor = np.exp(np.minimum(gain, MOST))
     profile = np.repeat(np.arange(len(sizes)), sizes)
@@ -725,8 +707,6 @@ def fit(source, totals, sizes, chain, gain, n):
 
 def shares(profiles: list[tuple[list[int], list[float], int]], total: int) -> dict[int, float]:
     """Log shares of the chains in one source; chain -1 is clean."""
-    import numpy as np
-
     sizes = np.array([len(c) for c, _, _ in profiles], np.int64)
     chain, gain = np.array([k for c, _, _ in profiles for k in c], np.int64), np.array([x for _, g, _ in profiles for x in g], float)
     share, clean = fit(np.zeros(len(sizes), np.int64), np.array([total], float), sizes, chain, gain, np.array([n for *_, n in profiles], float))
@@ -735,7 +715,6 @@ def shares(profiles: list[tuple[list[int], list[float], int]], total: int) -> di
 
 def source_shares(batches: Iterator) -> Iterator:
     """``(source, share)`` from profiles sorted by source, a few thousand at a time; a source is never cut."""
-    import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -773,8 +752,6 @@ def source_shares(batches: Iterator) -> Iterator:
 
 def prior():
     """Prior share of every chain."""
-    import numpy as np
-
     weights = np.array([_weight(k) for k in range(len(CHAINS))], float)
     return PRIOR * weights / weights.sum()
 
