@@ -4,22 +4,27 @@ Every token is compared with a vocabulary of frequent clean words.  The words
 form a trie; a weighted edit automaton runs along it and takes characters that
 look alike, and characters that are invisible, at no cost, all other edits at
 cost one.  With the default budget of zero only words of equal looks are
-reached; the most frequent one is the token's canonical spelling.  Tokens that
-reach no word, and everything between tokens, are normalised by a table of
-characters.  Values look the same when the table forms of their canonical texts
-are equal.
+reached; the most frequent one, ties by the word itself, is the token's canonical
+spelling, whether the token is plain ASCII or not.  Tokens that reach no word, and
+everything between tokens, are normalised by a table of characters: letters that
+look alike become those of the script that the token's other letters call for,
+Latin where there are none.  Both depend on the looks of a token only, so values of
+equal looks, and no others, have equal canonical texts; these make the groups of
+``p6_found``.
 
 Made uniform: width, joined and separate forms (composed and decomposed letters,
 ligatures, presentation forms), invisible characters, kinds of space and
 look-alike letters of Latin, Greek and Cyrillic.  Kept apart: accents, letter
 case, digits, punctuation, superscripts, fractions and symbols.
 
-Plan.  The vocabulary is at most ``MAX_WORDS`` words, proposed by bounded summaries
-per task.  Rows of plain ASCII never leave the JVM; the others take one narrow
-Arrow pass in which every distinct token is looked up once per worker.  Rows
-shrink to four hashes.  One combined aggregation finds the looks with two
-different values and two different keys, and only their rows are joined; pairs
-are formed between different values of one look only, as the result asks.
+Plan.  The vocabulary is the ``MAX_WORDS`` most frequent clean words by exact counts,
+combined per task, so it does not depend on how rows are spread.  Rows of plain
+ASCII never leave the JVM, but for those with a word that has a more frequent
+spelling in another script; the others take one narrow Arrow pass in which every
+distinct token is looked up once per worker.  Rows shrink to four hashes.  One
+combined aggregation finds the looks with two different values and two different
+keys, and only their rows go on.  Values of one look are paired first, rows are
+joined to their values' pairs, so rows of one value are never compared.
 
 Defined cases: null values, and values without a letter, have no pairs; null
 keys are no keys, so their rows have no pairs either; empty tables give no rows;
@@ -35,7 +40,6 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.terms import heavy_terms
 from glyphmill.plans import stage
 
 MAX_WORDS = 20_000
@@ -46,6 +50,8 @@ CYRILLIC = dict(zip("асԁеһіјӏкорԛѕуѵԝхАВЕԌНІЈКМОРС
 GREEK = dict(zip("αινορυγκϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aivopuykcjABEZHIKMNOPTYXCJ"))
 OTHER = dict(zip("µօսհցոԼՕՍ", "μouhgnLOU"))
 LOOKS = CYRILLIC | GREEK | OTHER
+#: The first letter of each script that has a given look.
+BACK = {"CYRILLIC": {v: k for k, v in reversed(CYRILLIC.items())}, "GREEK": {v: k for k, v in reversed(GREEK.items())}}
 #: Format characters that are visible (signs of Arabic and Syriac numbers).
 VISIBLE_FORMATS = set("؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd")
 #: Invisible characters of other categories: joiner, fillers, vowel and variation selectors.
@@ -140,6 +146,18 @@ class Trie:
         return sorted(((k, w) for w, k in found.items()), key=lambda x: (x[0], self.rank[x[1]]))
 
 
+def table_form(look: str) -> str:
+    """Spelling of a look that no word of the vocabulary has: Cyrillic or Greek where its letters with no Latin look are of that script."""
+    if look.isascii():
+        return look
+    parts = unicodedata.normalize("NFD", look)
+    scripts = {s for s in map(script, parts) if s} - {"LATIN"}
+    back = BACK.get(scripts.pop()) if len(scripts) == 1 else None
+    if back is None or any(script(c) == "LATIN" and c not in back for c in parts):
+        return look
+    return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in parts))
+
+
 class Canonizer:
     """Canonical text of values; remembers tokens, up to ``MEMO`` of them."""
 
@@ -148,40 +166,66 @@ class Canonizer:
 
         self.trie = Trie(words)
         self.memo: dict[str, str] = {}
-        joined = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me") or (chr(c) in INVISIBLE or unicodedata.category(chr(c)) == "Cf"))
-        self.split = re.compile(rf"([^\W_][\w{re.escape(joined)}]*)").split
+        plane = [chr(c) for c in range(0x10000)]
+        joined = "".join(c for c in plane if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf") or c in INVISIBLE)
+        marks = re.escape(joined)
+        back, letter = (re.escape("".join(c for c in plane if units(c) in some)) for some in (("\\",), ("n", "r", "t")))
+        #: words; an escape such as \\n stands between words
+        self.split = re.compile(rf"([{back}][{marks}]*[{letter}]|[^\W_](?:[^\W_]|[{marks}])*)").split
+        #: characters of words that stand for several words
+        self.several = {ord(c): units(c) for c in plane if c.isalnum() and not all(x.isalnum() or x in joined for x in units(c))}
+        #: ASCII words with a more frequent spelling
+        self.other = {look: best for look, best in ((skeleton(w), self.trie.matches(w)[0][1]) for w in self.trie.rank if not w.isascii()) if look.isascii() and best != look}
 
     def part(self, part: str) -> str:
         got = self.memo.get(part)
         if got is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            found = self.trie.matches(part) if part[:1].isalnum() and not part.isascii() else []
-            got = self.memo[part] = part if part.isascii() else found[0][1] if found else self.table(part)
+            if part.isascii():
+                got = self.other.get(part, part)
+            else:
+                found = self.trie.matches(part) if part[:1].isalnum() else []
+                got = found[0][1] if found else table_form(skeleton(part))
+            self.memo[part] = got
         return got
 
-    @staticmethod
-    def table(part: str) -> str:
-        """Table form of an unmatched token; one written in a single script keeps that script's letters."""
-        scripts = {s for s in map(script, part) if s}
-        if len(scripts) == 1 and scripts & {"CYRILLIC", "GREEK"}:
-            return unicodedata.normalize("NFC", "".join(c if c in LOOKS else units(c) for c in unicodedata.normalize("NFD", part)))
-        return skeleton(part)
-
     def canonical(self, value: str) -> str:
-        return value if value.isascii() else "".join(map(self.part, self.split(value)))
+        if value.isascii():
+            return "".join(map(self.part, self.split(value))) if self.other else value
+        return "".join(map(self.part, self.split(value.translate(self.several))))
 
+    def apart(self) -> str:
+        """Pattern of the ASCII values that are not their own canonical texts."""
+        return r"(?<![A-Za-z0-9])(?:" + "|".join(sorted(self.other)) + r")(?![A-Za-z0-9])"
 
-def _letters(text: str) -> list[str]:
-    from glyphmill.llm.words import word_finder
 
-    return [w for w in word_finder()(text) if not any(c.isdigit() for c in w) and len(w) > 1]
+def vocabulary(df: DataFrame, value_col: str = "value", limit: int = MAX_WORDS) -> list[str]:
+    """Frequent clean words, most frequent first by exact counts; at most ``limit``."""
 
+    def count(batches: Iterator) -> Iterator:
+        from collections import Counter
 
-def vocabulary(df: DataFrame, value_col: str = "value", limit: int = MAX_WORDS) -> list[str]:
-    """Frequent clean words, most frequent first; at most ``limit``."""
-    words = heavy_terms(df.select(F.col(value_col)).where(F.col(value_col).isNotNull()), limit, _letters)
-    return [w for w in words if clean(w)]
+        import pyarrow as pa
+
+        from glyphmill.llm.words import word_finder
+
+        words, held = word_finder(), Counter()
+
+        def flush():
+            good = [(w, n) for w, n in held.items() if sum(map(str.isalpha, w)) > 1 and not any(c.isdigit() for c in w) and clean(w)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in good], pa.string()), pa.array([n for _, n in good], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                held.update(words(v))
+            if len(held) > 200_000:
+                yield flush()
+        yield flush()
+
+    counts = df.select(F.col(value_col)).where(F.col(value_col).isNotNull()).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]
 
 
 def canonical_texts(df: DataFrame, id_col: str = "entry_id", value_col: str = "value", words: list[str] | None = None) -> DataFrame:
@@ -198,12 +242,19 @@ def canonical_texts(df: DataFrame, id_col: str = "entry_id", value_col: str = "v
             texts = [canon.canonical(v) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(skeleton, texts)), pa.string())], [id_col, "value", "canonical", "looks"])
 
-    plain = F.col("value").rlike(r"^\p{ASCII}*$")
+    plain = _plain(shared.value)
     ascii_rows = rows.where(plain).select(id_col, "value", F.col("value").alias("canonical"), F.col("value").alias("looks"))
     other = rows.where(~plain).mapInArrow(run, f"`{id_col}` {id_type}, value string, canonical string, looks string")
     return ascii_rows.unionByName(other)
 
 
+def _plain(words: list[str]):
+    """Condition: values that are their own canonical texts, as their characters and words tell."""
+    canon = _canonizer(words)
+    plain = F.col("value").rlike(r"^\p{ASCII}*$")
+    return plain & ~F.col("value").rlike(canon.apart()) if canon.other else plain
+
+
 _made: dict[int, Canonizer] = {}
 
 
@@ -222,18 +273,21 @@ def look_pairs(df: DataFrame, id_col: str = "entry_id", key_col: str = "key", va
     keyed = keyed.where(F.col("key").isNotNull() & F.col("value").rlike(r"\p{L}"))
     words = vocabulary(df, value_col)
     ids = keyed.select("row.id", "row.k", "value")
-    texts = _with_looks(ids, words, df.sparkSession)
-    rows = stage(texts.select("id", "k", F.xxhash64("value").alias("v"), F.xxhash64("looks").alias("s1"), F.xxhash64(F.lit(7), "looks").alias("s2")), "looks")
+    texts = _with_canonical(ids, words, df.sparkSession)
+    rows = stage(texts.select("id", "k", F.xxhash64("value").alias("v"), F.xxhash64("canonical").alias("s1"), F.xxhash64(F.lit(7), "canonical").alias("s2")), "looks")
     several = rows.groupBy("s1", "s2").agg(F.min("v").alias("v0"), F.max("v").alias("v1"), F.min("k").alias("k0"), F.max("k").alias("k1"))
     several = stage(several.where("v0 <> v1 and k0 <> k1").select("s1", "s2"), "alike")
     few = stage(rows.join(several, ["s1", "s2"], "left_semi"), "alike-rows")
-    a, b = few.alias("a"), few.alias("b")
-    same = (F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") == F.col("b.s2"))
-    apart = (F.col("a.v") != F.col("b.v")) & (F.col("a.k") != F.col("b.k")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same & apart).select(F.col("a.id").alias(f"{id_col}_a"), F.col("b.id").alias(f"{id_col}_b"))
+    values = few.select("s1", "s2", "v").distinct()
+    pairs = stage(values.join(values.withColumnRenamed("v", "w"), ["s1", "s2"]).where("v < w"), "alike-values")
+    a = few.join(pairs, ["s1", "s2", "v"]).select("s1", "s2", "w", F.col("id").alias("a"), F.col("k").alias("ka"))
+    b = few.select("s1", "s2", F.col("v").alias("w"), F.col("id").alias("b"), F.col("k").alias("kb"))
+    both = a.join(b, ["s1", "s2", "w"]).where("ka <> kb and a <> b")
+    return both.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b"))
 
 
-def _with_looks(rows: DataFrame, words: list[str], spark) -> DataFrame:
+def _with_canonical(rows: DataFrame, words: list[str], spark) -> DataFrame:
+    """Add ``canonical``, by which looks are told apart."""
     shared = spark.sparkContext.broadcast(words)
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -242,11 +296,11 @@ def _with_looks(rows: DataFrame, words: list[str], spark) -> DataFrame:
 
         canon = _canonizer(shared.value)
         for batch in batches:
-            looks = [skeleton(canon.canonical(v)) for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(looks, pa.string())], ["id", "k", "value", "looks"])
+            texts = list(map(canon.canonical, batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["id", "k", "value", "canonical"])
 
-    plain = F.col("value").rlike(r"^\p{ASCII}*$")
-    return rows.where(plain).withColumn("looks", F.col("value")).unionByName(rows.where(~plain).mapInArrow(run, f"id {id_type}, k bigint, value string, looks string"))
+    plain = _plain(words)
+    return rows.where(plain).withColumn("canonical", F.col("value")).unionByName(rows.where(~plain).mapInArrow(run, f"id {id_type}, k bigint, value string, canonical string"))
 
 
 def p6_found(df: DataFrame) -> DataFrame:
