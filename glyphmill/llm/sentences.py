@@ -3,8 +3,10 @@
 Standard rules on character properties: terminators (STerm, ATerm) and closing
 characters (Close) of all scripts are read from the Unicode sentence-break
 property; a boundary follows a terminator, its closing characters and the space
-after them.  Full stops are held back by abbreviations of the languages, by
-decimals, file names, initials and ellipses before lower case.  A quotation or
+after them.  Full stops are held back by abbreviations of the sentence's own language,
+by decimals, file names, initials and ellipses before lower case.  The language of a
+sentence is that of its script or of most of its frequent words; the delivered label
+has a vote, so a wrong label is outvoted by the text.  A quotation or
 bracket that opens inside a sentence belongs to it; one that opens a sentence is
 looked into unless the sentence goes on after it.  In scripts without sentence
 marks a space between two complete statements is a boundary.  Line-break escapes
@@ -36,31 +38,55 @@ def _forms(text: str) -> frozenset[str]:
     return frozenset(skeleton(unicodedata.normalize("NFC", w)) for w in text.split())
 
 
-# Abbreviations by what may follow them (fixed values; without the last full stop).
-#: Never the end of a sentence.
-ALWAYS = _forms(
-    "approx e.g i.e vs cf st dr mr mrs ms prof gen rev ver dept incl resp viz "  # English
-    "ca z z.b d.h u.a o.ä bzw vgl lt evtl ggf inkl zzgl sog "  # German
-    "env av mme mlle "  # French
-    "aprox dpto depto sr sra avda prov "  # Spanish, Portuguese
-    "ecc.le sig sig.ra dott "  # Italian
-    "bijv o.a d.w.z blz m.b.t t.o.v "  # Dutch
-    "np tj zob m.in tzn tzw godz "  # Polish
-    "прибл напр см т.е т.к ср им "  # Russian
-    "περ π.χ βλ δηλ κ "  # Greek
-    "सं डॉ श्री प्रो कि.मी रु "  # Hindi
-    "např tzn tzv resp popř "  # Czech
-    "pl kb ún ill "  # Hungarian
-    "esim ks noin mm "  # Finnish
-)
-#: Before a number, a code or a single letter.
-REFERENCE = _forms(
-    "no nos nr n º fig figs sec sect ch chap p pp vol art tab eq ed abb kap s ziff hfst afb "
-    "núm num pág pag págs cap cáp rys rozdz str рис гл стр п разд № αρ εικ κεφ σελ obr kap č पृ क्र चि ábra fej kuva luku ok tel kl"
-)
-#: The end of a sentence only where the next one begins with a capital letter.
-SOFT = _forms("etc usw usf itp itd a.m p.m т.д т.п др пр inc co ltd corp jr min max std sek κ.λπ κλπ osv enz atd apod stb jne ym ecc etc г тыс млн руб")
-KNOWN = ALWAYS | REFERENCE | SOFT
+# Abbreviations of each language, without the last full stop, by what may follow them: those that never
+# end a sentence; those that stand before a number, a code or a single letter; those that end one before a capital only.
+ABBREVIATIONS = {
+    "en": ("approx e.g i.e vs cf st dr mr mrs ms prof gen rev ver dept incl resp viz", "no nos nr fig figs sec sect ch chap p pp vol art tab eq ed tel", "etc inc co ltd corp jr min max a.m p.m"),
+    "de": ("ca z z.b d.h u.a o.ä bzw vgl lt evtl ggf inkl zzgl sog st dr prof resp", "nr nrn abb kap s ziff fig art tab bd tel", "usw usf std sek min max co etc"),
+    "fr": ("env av mme mlle dr prof", "n º no nos fig figs p pp chap sect vol art tab éd tél", "etc max min"),
+    "es": ("aprox dpto depto sr sra avda prov dr dra prof", "n º no núm num nos fig figs pág pag págs p pp cap sec art vol tel ed", "etc máx mín a.m p.m"),
+    "pt": ("aprox dpto depto sr sra avda av prov dr dra prof", "n º no núm num fig figs pág pag págs p pp cap cáp sec art vol tel ed", "etc máx mín"),
+    "it": ("ecc.le sig sig.ra dott ca prof", "n º no num nr fig figg pag p pp cap sez art vol tab tel ed", "ecc etc max min"),
+    "nl": ("bijv o.a d.w.z blz m.b.t t.o.v ca resp dr", "nr nrs afb fig hfst kap p blz art tab tel", "enz etc max min"),
+    "pl": ("np tj zob m.in tzn tzw godz ok dr prof", "nr rys rozdz str s p art tab ok tel", "itp itd etc maks min"),
+    "ru": ("прибл напр см т.е т.к ср им", "рис гл стр п разд № табл тел", "т.д т.п др пр г тыс млн руб"),
+    "el": ("περ π.χ βλ δηλ κ", "αρ εικ κεφ σελ τηλ", "κ.λπ κλπ"),
+    "hi": ("सं डॉ श्री प्रो कि.मी रु", "पृ क्र चि", ""),
+    "cs": ("např tzn tzv resp popř", "č obr kap str s tel", "atd apod"),
+    "hu": ("pl kb ún ill", "ábra fej sz old tel", "stb"),
+    "fi": ("esim ks noin mm", "kuva luku s nro kl puh", "jne ym"),
+    "sv": ("t.ex bl.a ca s.k d.v.s", "nr fig kap s kl tel", "osv"),
+}
+# Words by which a language of Latin script is told from the others.
+FREQUENT = {
+    "en": "the a an i am me my we he she they of to in on for is are was were be been with this that these and or not you your it its from by at as if when before after has have will can cannot more than then every still",
+    "de": "der die das den dem des ein eine einen einem einer und oder nicht ist sind war wurde werden wird mit für auf im am an zu zum zur von vom bei bis nach vor sie ihre es aus als wenn wie noch nur mehr",
+    "fr": "le la les un une des du de et ou ne pas est sont été dans sur pour par avec au aux à en ce cette ces vous votre vos il elle qui que plus avant après selon",
+    "es": "el la los las un una de del y o no es son fue en con por para al se su sus que más antes después está según",
+    "pt": "o a os as um uma de do da dos das e ou não é são foi em na nos nas com por para ao se seu sua que mais antes depois está",
+    "it": "il lo la i gli le un una uno di del della dei delle e o non è sono in con per da dal al nel alla si che più prima dopo",
+    "nl": "de het een en of niet is zijn was in op met voor van naar bij te dat die deze dit uw als wordt worden meer om aan uit",
+    "pl": "i w z na do nie jest są się że to dla od po przed oraz lub czy przez jak o za ze niż więcej",
+    "cs": "a v z na do ne je jsou se že to pro od po před nebo o za ze než jak s k i",
+    "hu": "a az és nem van vagy hogy egy meg is csak el ez ezt még már után előtt",
+    "fi": "ja on ei ovat oli tai että se tämä sen kun jos ennen jälkeen mutta myös ole voi kuin",
+    "sv": "och att det som en ett på är av för med till den inte i om var eller från",
+}
+# Letters that one of these languages has and the others have not.
+LETTERS = {"de": "ß", "es": "ñ", "pt": "ãõ", "pl": "ąęłńśźż", "cs": "ěřůďťň", "hu": "őű", "sv": "å"}
+SETS = {lang: tuple(map(_forms, kinds)) for lang, kinds in ABBREVIATIONS.items()}
+SIGNS = {lang: _forms(words) for lang, words in FREQUENT.items()}
+#: Words that vote for a language by a letter.
+SIGN_LETTERS = {lang: re.compile(f"[{letters}]") for lang, letters in LETTERS.items()}
+#: Abbreviations of Latin script inside the sentences of languages that have another script.
+SETS["other"] = tuple(map(_forms, ("ver vs", "no nos nr fig figs vol p pp tel", "inc co ltd corp max min")))
+#: Languages by the letters that their words have and Latin words do not.
+BY_SCRIPT = {"ru": re.compile("[Ѐ-ӿ]"), "el": re.compile("[Ͱ-Ͽἀ-῿]"), "hi": re.compile("[ऀ-ॿ]"), "other": re.compile("[֐-ۿঀ-῿⺀-힣豈-﫿ｦ-ﾟ]")}
+KNOWN = frozenset().union(*(forms for kinds in SETS.values() for forms in kinds))
+#: Characters of a sentence before a full stop that tell its language, and four times those after it.
+AROUND = 320
+#: What the label counts in words.
+LABEL_VOTES = 1.5
 #: Abbreviations only after one of the given words.
 AFTER = {"ex": ("p.", "par", "por", "ex."), "ej": ("p.", "por"), "es": ("p.", "ad"), "b": ("z.",), "h": ("d.",), "a": ("u.",), "e": ("т.", "t.", "i."), "д": ("т.",), "п": ("т.",), "ex.": ()}
 
@@ -69,7 +95,7 @@ _BRACKETS = set("([（【〔")
 _INVERTED = "¿¡"
 _NO_MARKS = "฀-๿຀-໿"  # Thai, Lao
 _UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
-#: The rules know digits only as digits: values that differ in their numbers have the same boundaries.
+#: The rules know digits only as digits: values that differ in their digits, not in their number, have the same boundaries.
 DIGITS = re.compile("[1-9]")
 MEMO = 100_000
 #: Letters a statement in a script without marks must have on either side of a space.
@@ -122,10 +148,22 @@ def named_fields(value: str) -> bool:
     return len(parts) > 1 and all(":" in p or "=" in p for p in parts)
 
 
+def votes_for(lang: str, word: str) -> bool:
+    """Whether a word, in lower case and of uniform look, is a sign of a language."""
+    if lang in BY_SCRIPT:
+        return bool(BY_SCRIPT[lang].search(word))
+    return word in SIGNS[lang] or lang in SIGN_LETTERS and bool(SIGN_LETTERS[lang].search(word))
+
+
 class _Scan:
-    def __init__(self, text: str):
+    def __init__(self, text: str, label: str | None = None):
         self.r = rules()
         self.v = text
+        self.label = label
+        #: start of the sentence that is being read
+        self.at = 0
+        #: votes of all words, once they are asked for
+        self.whole: dict[str, float] | None = None
         self.gone: set[str] = set()
         words = self.r.cased.findall(text)
         cased = [w for w in words if w[0].lower() != w[0].upper()]
@@ -180,6 +218,35 @@ class _Scan:
             lo += 1  # the letter of an escape
         return v[lo:i].lstrip(".")
 
+    def votes(self, lo: int, hi: int) -> dict[str, float]:
+        words = self.r.cased.findall(skeleton(self.v[lo:hi].lower()))
+        scores = {lang: float(sum(votes_for(lang, w) for w in words)) for lang in (*SIGNS, *BY_SCRIPT)}
+        if self.label in scores:
+            scores[self.label] += LABEL_VOTES
+        return scores
+
+    def languages(self, i: int, token: str) -> list[str]:
+        """Languages whose abbreviations count for a token that ends at i.
+
+        Letters of a script of its own decide; else frequent words of the sentence around it and the label
+        vote; where that gives less than two votes or a tie, the whole text decides between the best.
+        """
+        look = skeleton(token)
+        for lang, letter in BY_SCRIPT.items():
+            if lang != "other" and letter.search(look):
+                return [lang]
+        near = self.votes(max(self.at, i - AROUND), i + AROUND // 4)
+        votes = max(near.values())
+        best = [lang for lang, n in near.items() if n == votes]
+        if votes < 2 or len(best) > 1:
+            if self.whole is None:
+                self.whole = self.votes(0, len(self.v))
+            votes = max(self.whole[lang] for lang in best)
+            best = [lang for lang in best if self.whole[lang] == votes]
+        if not votes:
+            return []
+        return [*best, "other"] if {"ru", "el", "hi"} & set(best) else best
+
     def next_letter(self, at: int) -> str:
         k = self.r.skip_open.match(self.v, at).end()
         return self.v[k : k + 1]
@@ -247,7 +314,7 @@ class _Scan:
         if not whole:
             if v[i - 1].isdigit():
                 # ordinals of German after an article or a preposition
-                return v[n].isalpha() and not hard and bool(r.ordinal.search(v, max(0, i - 24), i))
+                return v[n].isalpha() and not hard and bool(r.ordinal.search(v, max(0, i - 24), i)) and "de" in self.languages(i, "")
             # a full stop after a letter of a script written without spaces is an abbreviation
             return bool(r.no_marks.match(v, i - 1)) and not (c.isupper() and not hard)
         word = whole.rpartition(".")[2]
@@ -256,17 +323,21 @@ class _Scan:
         whole, last = next(((w, x) for w, x in ((skeleton(whole.lower()), skeleton(word.lower())), (skeleton(whole).lower(), skeleton(word).lower())) if {w, x} & KNOWN), (skeleton(whole.lower()), skeleton(word.lower())))
         if len(word) == 1 and word.isupper() and r.paired.match(v, n):
             return True
-        if hard and last not in ALWAYS:
+        always = reference = soft = frozenset()
+        if whole in KNOWN or last in KNOWN:
+            for lang in self.languages(i, word):
+                always, reference, soft = (x | y for x, y in zip((always, reference, soft), SETS[lang]))
+        if hard and last not in always:
             return False
-        if whole in ALWAYS or last in ALWAYS:
+        if whole in always or last in always:
             return True
-        if whole in SOFT or last in SOFT or (last in ("д", "п") and v[max(0, at - 3) : at].lower().rstrip().endswith("т.")):
+        if whole in soft or last in soft or (last in ("д", "п") and v[max(0, at - 3) : at].lower().rstrip().endswith("т.")):
             return not (c.isupper() and self.tells) or hard
         head = skeleton(v[max(0, at - 6) : at].lower()).rstrip()
         for key, before in AFTER.items():
             if last == key and head.endswith(before):
                 return True
-        if last in REFERENCE and r.reference.match(v, n):
+        if last in reference and r.reference.match(v, n):
             return True
         if len(word) == 1:
             if word.islower():
@@ -319,7 +390,7 @@ class _Scan:
                     nxt = m.end()
             if nxt > start:
                 out.append(nxt)
-                start = i = nxt
+                start = i = self.at = nxt
         return out
 
     def statement(self, lo: int, hi: int) -> bool:
@@ -336,13 +407,22 @@ class _Scan:
         return sum(1 for _ in r.no_marks.finditer(v, at, stop.start() if stop else len(v))) >= STATEMENT
 
 
-def sentence_starts(text: str | None) -> list[int]:
-    """Start positions of all sentences of a text."""
+_LABEL = re.compile(r"\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", re.DOTALL)
+
+
+def label_of(label: str | None) -> str | None:
+    """Language with abbreviations that a delivered label names."""
+    m = _LABEL.match(label) if label else None
+    return m.group(1).lower() if m and m.group(1).lower() in SETS else None
+
+
+def sentence_starts(text: str | None, label: str | None = None) -> list[int]:
+    """Start positions of all sentences of a text; ``label`` helps where its words do not tell the language."""
     if not text:
         return []
     r = rules()
     if r.candidate(text):
-        return _Scan(text).starts()
+        return _Scan(text, label).starts()
     start = r.lead.match(text).end()
     return [start] if start < len(text) else []
 
@@ -350,11 +430,11 @@ def sentence_starts(text: str | None) -> list[int]:
 _TAIL = re.compile(r"(?:\s|\\[nrt]|(?<=[\s])[/|–—])+$")
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
+def sentence_spans(text: str | None, label: str | None = None) -> list[tuple[int, int]]:
     """Half-open spans of all sentences, without the space and separators around them."""
     if not text:
         return []
-    starts = sentence_starts(text)
+    starts = sentence_starts(text, label)
     out = []
     for s, e in zip(starts, [*starts[1:], len(text)]):
         body = text[s:e].rstrip()
@@ -364,26 +444,32 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def boundaries(df: DataFrame, id_col: str = "entry_id", value_col: str = "value") -> DataFrame:
+def _rows(df: DataFrame, id_col: str, value_col: str, label_col: str):
+    """Identifier, value and label, null where there is no such column."""
+    label = F.col(label_col).cast("string") if label_col in df.columns else F.lit(None).cast("string")
+    return df.select(F.col(id_col).alias("id"), F.col(value_col).alias("value"), label.alias("label"))
+
+
+def boundaries(df: DataFrame, id_col: str = "entry_id", value_col: str = "value", label_col: str = "lang") -> DataFrame:
     """``(id_col, start_pos)`` of every sentence but the first of its value."""
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col), F.col(value_col)).where(F.length(value_col) > 1)
+    rows = _rows(df, id_col, value_col, label_col).where(F.length("value") > 1)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        known: dict[str, list[int]] = {}
+        known: dict[tuple[str, str | None], list[int]] = {}
         for batch in batches:
             at: list[int] = []
             pos: list[int] = []
-            for k, v in enumerate(batch.column(1).to_pylist()):
-                masked = DIGITS.sub("0", v)
+            for k, (v, label) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                masked = DIGITS.sub("0", v), label_of(label)
                 found = known.get(masked)
                 if found is None:
                     if len(known) > MEMO:
                         known.clear()
-                    found = known[masked] = sentence_starts(masked)
+                    found = known[masked] = sentence_starts(*masked)
                 if len(found) > 1:
                     pos.extend(found[1:])
                     at.extend([k] * (len(found) - 1))
@@ -392,18 +478,18 @@ def boundaries(df: DataFrame, id_col: str = "entry_id", value_col: str = "value"
     return rows.mapInArrow(run, f"`{id_col}` {id_type}, start_pos int")
 
 
-def sentences(df: DataFrame, id_col: str = "entry_id", value_col: str = "value") -> DataFrame:
+def sentences(df: DataFrame, id_col: str = "entry_id", value_col: str = "value", label_col: str = "lang") -> DataFrame:
     """``(id_col, sentence_no, start_pos, sentence)`` of every non-null value."""
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col), F.col(value_col)).where(F.col(value_col).isNotNull())
+    rows = _rows(df, id_col, value_col, label_col).where("value is not null")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             at, no, pos, text = [], [], [], []
-            for k, v in enumerate(batch.column(1).to_pylist()):
-                for i, (s, e) in enumerate(sentence_spans(v), 1):
+            for k, (v, label) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for i, (s, e) in enumerate(sentence_spans(v, label_of(label)), 1):
                     at.append(k)
                     no.append(i)
                     pos.append(s)
