@@ -6,11 +6,11 @@ a value made of named fields is the sorted list of its canonical fields.
 
 Plan.  Every row is reduced to ``(id, h1, h2)``, a 128-bit hash of its canonical
 form, so no text is shuffled.  Partial counts (combined map-side) find every
-canonical key with at least ``hot_rows`` rows exactly.  Hot keys, at most
-``rows / hot_rows`` of them, are aggregated in two levels over a salt and their
-result is broadcast; all other keys go through one shuffle on the hash, where
-no group can exceed ``hot_rows`` rows.  The representative of a group is its
-smallest identifier.
+canonical key with at least ``hot_rows`` rows exactly.  Hot keys are aggregated in
+two levels over a salt and their result is joined back: by a broadcast where there
+are at most ``MAX_HOT`` of them (counted), by a shuffle beyond.  All other keys go
+through one shuffle on the hash, where no group can reach ``hot_rows`` rows, whatever
+the size of the input.  The representative of a group is its smallest identifier.
 
 Defined cases: null keys, null values and values without a letter, mark or
 number are left out; empty tables give empty results; a repeated identifier
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from glyphmill.plans import stage
 
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
+#: Rows that make a canonical key hot.
+HOT_ROWS = 100
 #: Upper bound on the number of hot keys that are broadcast (40 bytes each).
 MAX_HOT = 20_000
 
@@ -65,29 +67,32 @@ def copies(
     id_col: str = "entry_id",
     key_col: str = "key",
     value_col: str = "value",
-    hot_rows: int = 10_000,
+    hot_rows: int = HOT_ROWS,
     salts: int = 64,
+    max_hot: int = MAX_HOT,
 ) -> DataFrame:
     """``(id, first_id, n_copies)`` for every record that has a canonical form.
 
     ``hot_rows`` bounds the rows of a group that one task may see.
     """
     rows = stage(canonical_hashes(df, id_col, key_col, value_col), "canon")
-    total = rows.count()
-    hot_rows = max(hot_rows, -(-total // MAX_HOT))
     counted = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     hot = stage(counted.where(F.col("n") >= hot_rows).select("h1", "h2"), "hot")
-    if hot.isEmpty():
+    n_hot = hot.count()
+    if not n_hot:
         return _light(rows)
-    hot_keys = F.broadcast(hot)
+
+    def beside(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if n_hot <= max_hot else keys.hint("merge")
+
     salted = (
-        rows.join(hot_keys, ["h1", "h2"], "left_semi")
+        rows.join(beside(hot), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
         .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     )
     merged = salted.groupBy("h1", "h2").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n_copies"))
-    heavy = rows.join(F.broadcast(merged), ["h1", "h2"]).select("id", "first_id", "n_copies")
-    return _light(rows.join(hot_keys, ["h1", "h2"], "left_anti")).unionByName(heavy)
+    heavy = rows.join(beside(merged), ["h1", "h2"]).select("id", "first_id", "n_copies")
+    return _light(rows.join(beside(hot), ["h1", "h2"], "left_anti")).unionByName(heavy)
 
 
 def _light(rows: DataFrame) -> DataFrame:

@@ -29,9 +29,14 @@ EDGES = [(1, "f", None, None, None), (2, "f", "K", None, "en"), (3, None, None,
 )
 def test_edges(spark, run):
     rows = table(spark, EDGES)
-    assert run(rows).count() >= 0
+    once, twice = Counter(map(str, run(rows).collect())), Counter(map(str, run(rows.unionByName(rows)).collect()))
     assert run(rows.where("false")).count() == 0
-    assert run(rows.unionByName(rows)).count() >= run(rows).count() * 0
+    assert set(once) <= set(twice) or run in (copies.collapse, terms.p5_terms, terms.p5_found, terms.value_counts)
+    known = {
+        copies.p1_found: [(6, 7)], copies.collapse: [(6, 2)], sentences.p3_found: [], mojibake.p4_found: [], lookalikes.p6_found: [],
+    }.get(run)
+    if known is not None:
+        assert sorted(tuple(r)[:2] for r in run(rows).collect()) == known
 
 
 def canon(k, v):
@@ -48,13 +53,13 @@ def canon(k, v):
     return fold(k).replace("_", ""), "\1".join(sorted(map(bare, parts))) if named else bare(fold(v))
 
 
-@pytest.mark.parametrize("hot_rows", [3, 10_000])
-def test_copies_equal_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("hot_rows,max_hot", [(3, 20_000), (3, 1), (10_000, 20_000)])
+def test_copies_equal_brute_force(spark, hot_rows, max_hot):
     rng = random.Random(1)
     values = ["Unit: kg; Bin: B1", "bin=B1|UNIT : kg", "Unit: kg, x", "unit kg x", "Straße 5", "STRASSE 5!", "a-b", "A B", "--", None, "σας", "ΣΑΣ"]
     keys = ["A_b", "aB", "AB", "c", None]
     rows = [(i, "f", rng.choice(keys), rng.choice(values), "en") for i in range(300)]
-    got = {(r.entry_id if hasattr(r, "entry_id") else r.id, r.first_id, r.n_copies) for r in copies.copies(table(spark, rows), hot_rows=hot_rows).collect()}
+    got = {(r.entry_id if hasattr(r, "entry_id") else r.id, r.first_id, r.n_copies) for r in copies.copies(table(spark, rows), hot_rows=hot_rows, max_hot=max_hot).collect()}
     groups = defaultdict(list)
     for i, _, k, v, _ in rows:
         if k is not None and v is not None and canon(k, v)[1].strip("\1"):
