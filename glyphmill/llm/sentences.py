@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,10 +122,13 @@ class Rules:
         self.gap = re.compile(rf"{gap}*")
         self.lead = re.compile(r"(?:\s|\\[nrt]|[/|](?=\s))*")
         self.candidate = re.compile(rf"[{term}](?:\\\"|[{closing}{term}\s])*(?:\\[nrt]|[^\s{term}{closing}\\\d])|[{term}]\S*\s+\S|\\[nr]|[\n\r]|;\s|[{_NO_MARKS}]\s+\S|\s[/|–—]\s").search
+        #: characters that events begin with; space counts in scripts without marks only
+        first = rf"{term}\"\\\n\r;{openers}"
+        self.triggers = re.compile(rf"[{first}]").search, re.compile(rf"[{first}\s]").search
         self.event = re.compile(
             rf"(?P<term>[{term}]+)|(?P<quote>\\\"|\")|(?P<open>[{openers}])|(?P<line>(?:\\[nr]|[\n\r])+)|(?P<greek>(?<=[Ͱ-Ͽἀ-῿a-zA-Z]);(?=\s|\\n|$))"
             rf"|(?P<space>(?<=[{_NO_MARKS}])\s+(?=[^\W\d_]|[¿¡“„«]))|(?P<sep>(?<=[{_NO_MARKS}])\s+[/|–—]\s+)"
-        ).search
+        ).match
         self.skip_open = re.compile(rf"(?:\[\w+\]|\{{\w*\}}|<\w+>|%\w|\\\"|[\s\"'{openers}{_INVERTED}*•·-])*")
         self.unspaced = re.compile(f"[{_UNSPACED}]")
         self.ordinal = re.compile(r"(?:^|[^\w])(?:am|ab|an|bis|das|dem|den|der|des|die|im|jede[mnrs]?|nach|seit|vom|vor|zum|zur) (?:dem |den |der )?\d{1,2}$", re.IGNORECASE)
@@ -148,11 +151,11 @@ def named_fields(value: str) -> bool:
     return len(parts) > 1 and all(":" in p or "=" in p for p in parts)
 
 
-def votes_for(lang: str, word: str) -> bool:
-    """Whether a word, in lower case and of uniform look, is a sign of a language."""
-    if lang in BY_SCRIPT:
-        return bool(BY_SCRIPT[lang].search(word))
-    return word in SIGNS[lang] or lang in SIGN_LETTERS and bool(SIGN_LETTERS[lang].search(word))
+@lru_cache(maxsize=200_000)
+def voted(word: str) -> tuple[str, ...]:
+    """Languages that a word, in lower case and of uniform look, is a sign of."""
+    latin = [lang for lang, signs in SIGNS.items() if word in signs or lang in SIGN_LETTERS and SIGN_LETTERS[lang].search(word)]
+    return (*latin, *(lang for lang, letter in BY_SCRIPT.items() if letter.search(word)))
 
 
 class _Scan:
@@ -165,10 +168,25 @@ class _Scan:
         #: votes of all words, once they are asked for
         self.whole: dict[str, float] | None = None
         self.gone: set[str] = set()
-        words = self.r.cased.findall(text)
-        cased = [w for w in words if w[0].lower() != w[0].upper()]
-        #: whether upper case tells anything in this text
-        self.tells = not cased or sum(w[0] == w[0].lower() for w in cased) * 10 >= 3 * len(cased)
+        self.trigger = self.r.triggers[bool(self.r.no_marks.search(text))]
+
+    @cached_property
+    def tells(self) -> bool:
+        """Whether upper case tells anything in this text."""
+        heads = [w[0] for w in self.r.cased.findall(self.v)]
+        small = sum(map(str.islower, heads))
+        cased = small + sum(c.lower() != c.upper() and not c.islower() for c in heads)
+        return not cased or small * 10 >= 3 * cased
+
+    def event(self, at: int):
+        """Match of the next place that may end a sentence."""
+        trigger, event, v = self.trigger, self.r.event, self.v
+        while (m := trigger(v, at)) is not None:
+            found = event(v, m.start())
+            if found is not None:
+                return found
+            at = m.start() + 1
+        return None
 
     def closing(self, at: int, opener: str) -> int:
         """Position of the character that closes the opener at ``at``, or -1."""
@@ -219,8 +237,10 @@ class _Scan:
         return v[lo:i].lstrip(".")
 
     def votes(self, lo: int, hi: int) -> dict[str, float]:
-        words = self.r.cased.findall(skeleton(self.v[lo:hi].lower()))
-        scores = {lang: float(sum(votes_for(lang, w) for w in words)) for lang in (*SIGNS, *BY_SCRIPT)}
+        scores = dict.fromkeys((*SIGNS, *BY_SCRIPT), 0.0)
+        for word in self.r.cased.findall(skeleton(self.v[lo:hi].lower())):
+            for lang in voted(word):
+                scores[lang] += 1
         if self.label in scores:
             scores[self.label] += LABEL_VOTES
         return scores
@@ -353,7 +373,7 @@ class _Scan:
         if not out or named_fields(v):
             return out
         i = start
-        while (m := r.event(v, i)) is not None:
+        while (m := self.event(i)) is not None:
             kind, i = m.lastgroup, m.end()
             nxt = -1
             if kind in ("open", "quote"):
@@ -403,7 +423,7 @@ class _Scan:
             return True
         if not r.no_marks.match(v, r.skip_open.match(v, at).end()):
             return False
-        stop = r.event(v, at + 1)
+        stop = self.event(at + 1)
         return sum(1 for _ in r.no_marks.finditer(v, at, stop.start() if stop else len(v))) >= STATEMENT
 
 
