@@ -33,13 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.mojibake import _folded, unmixed
-from glyphmill.llm.sentences import sentence_spans
+from glyphmill.llm.sentences import DIGITS, SETS, sentence_spans
 
 PER_LANGUAGE = 1000
-WINDOW, STRIDE, TRAINED = 96, 72, 64
+WINDOW, STRIDE = 96, 72
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 40, 8
-EPOCHS, BATCH, RATE, SEED = 5, 64, 0.004, 7
+EPOCHS, CLEANING, BATCH, RATE, SEED = 4, 2, 64, 0.004, 7
 SWITCH, FLOOR, LABEL_BONUS, SHORT = 3.0, -12.0, 0.7, 18
+#: Probability of its label under which a text of one sentence is taken out of the training.
+DOUBTFUL = 0.02
+#: Windows of a group within which batches are formed by length.
+GROUP = 32 * BATCH
 MEMO = 150_000
 #: Fewest trusted rows that make a language known.
 LEAST = 20
@@ -74,6 +78,14 @@ def to_matrix(parts: list[bytes]):
     return np.frombuffer(b"".join(p[:WINDOW].ljust(WINDOW, b"\0") for p in parts), np.uint8).reshape(len(parts), WINDOW)
 
 
+def cropped(x):
+    """Windows without the zeros that all of them end in, but for those that a filter sees past their ends."""
+    import numpy as np
+
+    used = np.flatnonzero(x.any(axis=0))
+    return np.ascontiguousarray(x[:, : min(x.shape[1], (int(used[-1]) if len(used) else 0) + max(WIDTHS) + 2)])
+
+
 class ByteCnn:
     """Byte convolutional network with multi-width filters, max pooling and softmax."""
 
@@ -113,7 +125,7 @@ class ByteCnn:
 
         out = []
         for i in range(0, len(x), batch):
-            h, _ = self._pooled(x[i : i + batch])
+            h, _ = self._pooled(cropped(x[i : i + batch]))
             z = h @ self.p["o"] + self.p["c"]
             z -= z.max(1, keepdims=True)
             out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))
@@ -155,11 +167,15 @@ class ByteCnn:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         total, t = max(1, epochs * -(-len(x) // BATCH)), 0
+        size = (x != 0).sum(axis=1)
         for _ in range(epochs):
+            # random groups, of which windows of like length go together
             order = rng.permutation(len(x))
-            for i in range(0, len(x), BATCH):
+            order = np.concatenate([g[np.argsort(size[g], kind="stable")] for g in np.split(order, range(GROUP, len(order), GROUP))])
+            starts = np.arange(0, len(x), BATCH)
+            for i in rng.permutation(starts):
                 pick = order[i : i + BATCH]
-                _, g = self.gradients(x[pick], y[pick])
+                _, g = self.gradients(cropped(x[pick]), y[pick])
                 rate = RATE * (1 - t / total) + 1e-5
                 t += 1
                 for k in self.p:
@@ -198,21 +214,28 @@ def training_rows(df: DataFrame, codes: list[str], value_col: str, label_col: st
 
 
 def train(rows: list[tuple[str, str]]) -> ByteCnn | None:
-    """Fit a network on (language, text) rows, drop rows that it contradicts, and fit again."""
+    """Fit a network on (language, text) rows, drop the sentences that it contradicts, and go on."""
     import numpy as np
 
     langs = sorted({c for c, _ in rows})
     if not langs:
         return None
-    parts, labels = [], []
+    parts, labels, alone = [], [], []
     for c, text in rows:
-        for w in windows(normal(text))[:2]:
-            parts.append(w)
-            labels.append(langs.index(c))
-    x, y = np.ascontiguousarray(to_matrix(parts)[:, :TRAINED]), np.array(labels)
-    first = ByteCnn(langs).fit(x, y, epochs=1)
-    agreed = first.log_probabilities(x)[np.arange(len(y)), y] > math.log(0.05)
-    return ByteCnn(langs).fit(x[agreed], y[agreed])
+        # the units that are classified later: all sentences of a text, all their windows
+        spans = sentence_spans(text, c if c in SETS else None)
+        for lo, hi in spans:
+            if letters(text[lo:hi]) >= 4:
+                for w in windows(normal(text[lo:hi])):
+                    parts.append(w)
+                    labels.append(langs.index(c))
+                    alone.append(len(spans) == 1)
+    x, y = to_matrix(parts), np.array(labels)
+    net = ByteCnn(langs).fit(x, y, epochs=CLEANING)
+    # the network itself finds wrong labels, and more readily in texts of several sentences, which may be of several languages
+    logs = net.log_probabilities(x)
+    agreed = (logs.argmax(axis=1) == y) | (np.array(alone) & (logs[np.arange(len(y)), y] > math.log(DOUBTFUL)))
+    return net.fit(x[agreed], y[agreed])
 
 
 def letters(text: str) -> int:
@@ -253,7 +276,10 @@ class Labeller:
             self.memo.clear()
         new = [r for r in dict.fromkeys(raws) if r not in self.memo]
         parts = [windows(r) for r in new]
-        logs = self.model.log_probabilities(to_matrix([w for p in parts for w in p]))
+        flat = [w for p in parts for w in p]
+        order = np.argsort([len(w) for w in flat], kind="stable")  # windows of like length go together
+        logs = np.empty((len(flat), len(self.model.langs)), np.float32)
+        logs[order] = self.model.log_probabilities(to_matrix([flat[i] for i in order]))
         at = 0
         for r, p in zip(new, parts):
             if len(p) == 1:
@@ -267,7 +293,7 @@ class Labeller:
         """(start, language, confidence) of the segments of each value."""
         import numpy as np
 
-        cut = [[(s, v[s:e]) for s, e in sentence_spans(v)] for v in values]
+        cut = [[(s, v[s:e]) for s, e in sentence_spans(v, hint if hint in SETS else None)] for v, hint in zip(values, hints)]
         cut = [[(s, normal(t), letters(t)) for s, t in c] for c in cut]
         self.classify([raw for c in cut for _, raw, _ in c])
         out = []
@@ -300,8 +326,8 @@ class Labeller:
         return out
 
     def labelled(self, values: list[str], hints: list[str | None]) -> list[list[tuple[int, str, float]]]:
-        """Segments; values that differ in their numbers only are judged once."""
-        keys = [(_DIGITS.sub("0", v), h) for v, h in zip(values, hints)]
+        """Segments; values that differ in their digits, not in how many there are, are judged once."""
+        keys = [(DIGITS.sub("0", v), h) for v, h in zip(values, hints)]
         if len(self.known) > MEMO:
             self.known.clear()
         new = [k for k in dict.fromkeys(keys) if k not in self.known]
@@ -316,11 +342,11 @@ class Labeller:
 def languages_of(
     df: DataFrame, codes: list[str], id_col: str = "entry_id", value_col: str = "value", label_col: str = "lang", source_col: str = "file", min_letters: int = 20
 ) -> DataFrame:
-    """``(id_col, label, segment_no, lang, confidence, n_segments)`` of every value with enough letters."""
+    """``(id_col, label, segment_no, start_pos, lang, confidence, n_segments)`` of every value with enough letters."""
     spark = df.sparkSession
     model = train(training_rows(df, codes, value_col, label_col, source_col, id_col))
     id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, label string, segment_no int, lang string, confidence double, n_segments int"
+    schema = f"`{id_col}` {id_type}, label string, segment_no int, start_pos int, lang string, confidence double, n_segments int"
     code = label_code(F.col(label_col))
     label = F.when(code.isin(codes), code)
     rows = df.select(F.col(id_col), F.col(value_col), label.alias("label")).where(F.length(value_col) >= min_letters)
@@ -338,11 +364,11 @@ def languages_of(
                 values, labels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 pick = [i for i, v in enumerate(values) if letters(v) >= min_letters]
                 found = labeller.labelled([values[i] for i in pick], [labels[i] for i in pick])
-                flat = [(i, labels[i], k, lang, p, len(segs)) for i, segs in zip(pick, found) for k, (_, lang, p) in enumerate(segs, 1)]
-                cols = list(zip(*flat)) or [[]] * 6
+                flat = [(i, labels[i], k, at, lang, p, len(segs)) for i, segs in zip(pick, found) for k, (at, lang, p) in enumerate(segs, 1)]
+                cols = list(zip(*flat)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int32())],
-                    [id_col, "label", "segment_no", "lang", "confidence", "n_segments"],
+                    [batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, kind) for c, kind in zip(cols[1:], (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32())))],
+                    [id_col, "label", "segment_no", "start_pos", "lang", "confidence", "n_segments"],
                 )
 
     return rows.mapInArrow(run, schema)
