@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,6 +79,21 @@ def to_matrix(parts: list[bytes]):
     return np.frombuffer(b"".join(p[:WINDOW].ljust(WINDOW, b"\0") for p in parts), np.uint8).reshape(len(parts), WINDOW)
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Let this process multiply on one thread: the products are small, and further threads only wait, which costs as much again."""
+    import ctypes
+    from pathlib import Path
+
+    import numpy as np
+
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def cropped(x):
     """Windows without the zeros that all of them end in, but for those that a filter sees past their ends."""
     import numpy as np
@@ -92,6 +108,7 @@ class ByteCnn:
     def __init__(self, langs: list[str], seed: int = SEED):
         import numpy as np
 
+        one_thread()
         rng = np.random.default_rng(seed)
         self.langs = langs
         self.p = {"e": rng.normal(0, 0.5, (256, EMBED)).astype(np.float32)}
@@ -264,6 +281,7 @@ class Labeller:
     """Applies a network to values; remembers the sentences it has seen."""
 
     def __init__(self, model: ByteCnn):
+        one_thread()
         self.model = model
         self.memo: dict[bytes, object] = {}
         self.known: dict[tuple[str, str | None], list[tuple[int, str, float]]] = {}
@@ -339,6 +357,17 @@ class Labeller:
         return self.memo[raw]
 
 
+_made: dict[int, Labeller] = {}
+
+
+def _labeller(key: int, model: ByteCnn) -> Labeller:
+    """The worker's labeller for a network; kept from task to task, with what it has seen."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = Labeller(model)
+    return _made[key]
+
+
 def languages_of(
     df: DataFrame, codes: list[str], id_col: str = "entry_id", value_col: str = "value", label_col: str = "lang", source_col: str = "file", min_letters: int = 20
 ) -> DataFrame:
@@ -352,12 +381,12 @@ def languages_of(
     rows = df.select(F.col(id_col), F.col(value_col), label.alias("label")).where(F.length(value_col) >= min_letters)
     if model is None:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(model)
+    shared, number = spark.sparkContext.broadcast(model), uuid.uuid4().int
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        labeller = Labeller(shared.value)
+        labeller = _labeller(number, shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
