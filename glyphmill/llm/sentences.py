@@ -103,20 +103,20 @@ STATEMENT = 8
 
 
 class Rules:
-    """Compiled rules; made once per worker."""
+    """Compiled rules for texts of characters below a limit; made once per worker."""
 
-    def __init__(self):
+    def __init__(self, limit: int):
         import regex
 
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]))
-        sterm = "".join(regex.findall(r"\p{Sentence_Break=STerm}", every)) + "…‥｡"
+        every = "".join(chr(c) for c in (*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)) if c < limit)
+        sterm = "".join(regex.findall(r"\p{Sentence_Break=STerm}", every)) + "".join(c for c in "…‥｡" if ord(c) < limit)
         aterm = "".join(regex.findall(r"\p{Sentence_Break=ATerm}", every))
         close = "".join(c for c in regex.findall(r"\p{Sentence_Break=Close}", every) if unicodedata.category(c) in ("Pe", "Pf", "Pi", "Ps", "Po")) + "\"'"
         term = re.escape(sterm + aterm)
         self.terms = frozenset(sterm + aterm)
         self.full_stops = frozenset(aterm)
         closing = re.escape("".join(c for c in close if unicodedata.category(c) not in ("Ps",) and c not in "„‚«‹"))
-        openers = re.escape("".join(k for k in _PAIRS))
+        openers = re.escape("".join(k for k in _PAIRS if ord(k) < limit))
         self.closers = re.compile(rf"(?:\\\"|[{closing}])*")
         gap = r"(?:\s|\\[nrt]|(?<=[\s]|[nrt])[/|–—](?=\s|\\[nrt]))"
         self.gap = re.compile(rf"{gap}*")
@@ -139,9 +139,17 @@ class Rules:
         self.latin_words = re.compile(r"(?:[^\W\d_฀-໿]+[\s,]+){2}[^\W\d_฀-໿]{2}")
 
 
-@lru_cache(maxsize=1)
-def rules() -> Rules:
-    return Rules()
+@lru_cache(maxsize=3)
+def _rules(limit: int) -> Rules:
+    return Rules(limit)
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]").search
+
+
+def rules(text: str) -> Rules:
+    """The rules for a text; classes without the characters that it cannot hold are searched much faster."""
+    return _rules(0x80 if text.isascii() else 0x110000 if _BEYOND(text) else 0x10000)
 
 
 def named_fields(value: str) -> bool:
@@ -160,7 +168,7 @@ def voted(word: str) -> tuple[str, ...]:
 
 class _Scan:
     def __init__(self, text: str, label: str | None = None):
-        self.r = rules()
+        self.r = rules(text)
         self.v = text
         self.label = label
         #: start of the sentence that is being read
@@ -440,7 +448,7 @@ def sentence_starts(text: str | None, label: str | None = None) -> list[int]:
     """Start positions of all sentences of a text; ``label`` helps where its words do not tell the language."""
     if not text:
         return []
-    r = rules()
+    r = rules(text)
     if r.candidate(text):
         return _Scan(text, label).starts()
     start = r.lead.match(text).end()
