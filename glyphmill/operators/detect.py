@@ -20,6 +20,8 @@ MISSING_SPACE = r"[.,!?;:](?=[A-Za-z])(?!(?:gif|png|jpe?g|pdf|csv|xlsx?)" + AFTE
 SPLICE = f",{K.WS}+(?:{K.AUXILIARIES}){AFTER}[^.!?]*\\?"
 FAIL = f"(?:^|[.!?]{K.WS}+)[Ff]ail{K.WS}+to{AFTER}"
 SENTENCE_START = f"(?:^|[.!?]{K.WS}+)[A-Za-z][A-Za-z0-9']*"
+#: A sentence that begins with a small letter, as most values have none.
+SMALL_START = f"(?:^|[.!?]{K.WS}+)[a-z]"
 COMMA_CAPITAL = f",{K.WS}+([A-Z][a-z]+){AFTER}"
 NUMBER_OF = f"(?iu){BEFORE}No\\.{K.WS}*of{AFTER}"
 IDENTIFIER = f"{BEFORE}[A-Za-z]*[a-z]ID{AFTER}"
@@ -61,15 +63,16 @@ def repeated_words(v: Column) -> Column:
 
 def sentence_starts(v: Column, context: Context) -> Column:
     starts = F.regexp_extract_all(v, F.lit(SENTENCE_START), F.lit(0))
-    sentence = looks_like_sentence(v)
 
     def wrong(t: Column) -> Column:
         word = F.regexp_extract(t, "[A-Za-z][A-Za-z0-9']*$", 0)
-        first = t.rlike("^[A-Za-z]")
-        bad = word.rlike("^[a-z]") & (~first | sentence)
+        bad = word.rlike("^[a-z]")
         return bad & ~word.isin(list(context.mixed)) if context.mixed else bad
 
-    return F.transform(F.filter(starts, wrong), lambda _: F.lit(K.M_START))
+    # what holds for the whole value is decided outside the lambdas, which are evaluated for every start
+    found = F.when(looks_like_sentence(v), F.filter(starts, wrong)).otherwise(F.filter(starts, lambda t: ~t.rlike("^[A-Za-z]") & wrong(t)))
+    found = F.when(v.rlike(SMALL_START), found).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda _: F.lit(K.M_START))
 
 
 def comma_capitals(v: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import fixed as K
 from glyphmill.functions.text import AFTER, BEFORE, looks_like_sentence, rebuild, strip, whole_words
 from glyphmill.operators.casing import sentence_case
-from glyphmill.operators.detect import FAIL, IDENTIFIER, MISSING_SPACE, NUMBER_OF, SENTENCE_START, Context, passive_pattern
+from glyphmill.operators.detect import MISSING_SPACE, NUMBER_OF, SENTENCE_START, SMALL_START, Context, passive_pattern
 
 Step = Callable[[Column, Context], Column]
 
@@ -38,7 +38,7 @@ def passive(v: Column, c: Context) -> Column:
 
 
 def identifier(v: Column, c: Context) -> Column:
-    return F.regexp_replace(v, IDENTIFIER.replace("[A-Za-z]*[a-z]ID", "([A-Za-z]*[a-z])ID"), "$1 ID")
+    return F.regexp_replace(v, f"{BEFORE}([A-Za-z]*[a-z])ID{AFTER}", "$1 ID")
 
 
 def double_space(v: Column, c: Context) -> Column:
@@ -46,7 +46,7 @@ def double_space(v: Column, c: Context) -> Column:
 
 
 def missing_space(v: Column, c: Context) -> Column:
-    return F.regexp_replace(v, f"({MISSING_SPACE[:8]}){MISSING_SPACE[8:]}", "$1 ")
+    return F.regexp_replace(v, MISSING_SPACE, "$0 ")
 
 
 def comma_case(v: Column, c: Context) -> Column:
@@ -76,21 +76,20 @@ def comma_splice(v: Column, c: Context) -> Column:
 
 
 def fail_to(v: Column, c: Context) -> Column:
-    return F.regexp_replace(v, FAIL.replace("(?:^", "(^", 1).replace("[Ff]ail", "([Ff])ail(", 1) + ")", "$1$2ailed$3")
+    return F.regexp_replace(v, f"(^|[.!?]{K.WS}+)([Ff])ail({K.WS}+to{AFTER})", "$1$2ailed$3")
 
 
 def capitalize(v: Column, c: Context) -> Column:
-    sentence = looks_like_sentence(v)
-
     def change(t: Column) -> Column:
         word = F.regexp_extract(t, "[A-Za-z][A-Za-z0-9']*$", 0)
-        able = word.rlike("^[a-z]") & (~t.rlike("^[A-Za-z]") | sentence)
+        able = word.rlike("^[a-z]")
         if c.mixed:
             able = able & ~word.isin(list(c.mixed))
         head = F.substring(t, F.lit(1), F.length(t) - F.length(word))
         return F.when(able, F.concat(head, F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1_000_000))).otherwise(t)
 
-    return rebuild(v, SENTENCE_START, change)
+    later = rebuild(v, SENTENCE_START, lambda t: F.when(t.rlike("^[A-Za-z]"), t).otherwise(change(t)))
+    return F.when(~v.rlike(SMALL_START), v).when(looks_like_sentence(v), rebuild(v, SENTENCE_START, change)).otherwise(later)
 
 
 def casing(v: Column, c: Context) -> Column:

@@ -9,7 +9,7 @@ from glyphmill.functions import fixed as K
 from glyphmill.operators.detect import Context, detect, repeated_words
 from glyphmill.operators.duplicates import duplicates
 from glyphmill.operators.fix import fix
-from glyphmill.operators.spelling import apply_spelling, check_spelling
+from glyphmill.operators.spelling import apply_spelling, checked, hits_of, judge, word_counts
 from glyphmill.plans import keep, stage
 
 SHEETS = ("Spelling", "Grammar", "Terminology", "Spacing", "Duplicates", "Clean", "Summary")
@@ -24,19 +24,41 @@ def category(counts: dict[str, Column]) -> Column:
     return F.when(most > 0, out)
 
 
-def fix_all(df: DataFrame, value: str = "value", context: Context = Context(), spelling: tuple[DataFrame, DataFrame] | None = None, id_col: str = "entry_id") -> DataFrame:
-    """``fix`` with spelling (lexicon and custom words) as its last step, on what the other steps leave of English values."""
+def glossary_keys(spark, context: Context) -> DataFrame | None:
+    """Known abbreviations, which spelling leaves to the terminology rules."""
+    return spark.createDataFrame([(w.lower(),) for w, _ in context.glossary], "word string").distinct() if context.glossary else None
+
+
+def spelling_hits(df: DataFrame, spelling: tuple[DataFrame, DataFrame], context: Context, columns: tuple[str, ...], id_col: str, lang: str | None) -> list[DataFrame]:
+    """``hits_of`` each column; the words of all columns are judged once."""
+    lexicon, custom = spelling
+    rows = checked(df, lexicon, lang)
+    words = word_counts(rows, columns[0], "_lang")
+    for c in columns[1:]:
+        words = words.unionByName(word_counts(rows, c, "_lang"))
+    verdicts = judge(words, lexicon, custom, glossary_keys(df.sparkSession, context))
+    return [hits_of(rows, verdicts, id_col, c) for c in columns]
+
+
+def _spelled(out: DataFrame, hits: DataFrame, id_col: str) -> DataFrame:
+    out = apply_spelling(out, hits.where("not known_key"), id_col, "fixed")
+    labels = F.when(F.col("spelled") != F.col("fixed"), F.concat("labels", F.array(F.lit(K.L_SPELLING)))).otherwise(F.col("labels"))
+    return out.withColumn("labels", labels).withColumn("fixed", F.col("spelled")).drop("spelled")
+
+
+def fix_all(
+    df: DataFrame, value: str = "value", context: Context = Context(), spelling: tuple[DataFrame, DataFrame] | None = None, id_col: str = "entry_id", lang: str | None = None
+) -> DataFrame:
+    """``fix`` with spelling (lexicon and custom words) as its last step, on what the other steps leave.
+
+    ``lang`` names the column with the language of a row; without it all rows are
+    taken as English, as the fix of whole files does.
+    """
     out = fix(df, value, context)
     if spelling is None:
         return out
-    lexicon, custom = spelling
-    if context.glossary:
-        custom = custom.select("word").union(df.sparkSession.createDataFrame([(w.lower(),) for w, _ in context.glossary], "word string")).distinct()
     out = stage(out, "fixed")
-    hits = check_spelling(out.where(F.col("lang_code").isin(list(K.ENGLISH))), lexicon, custom, id_col, "fixed")
-    out = apply_spelling(out, hits, id_col, "fixed")
-    labels = F.when(F.col("spelled") != F.col("fixed"), F.concat("labels", F.array(F.lit(K.L_SPELLING)))).otherwise(F.col("labels"))
-    return out.withColumn("labels", labels).withColumn("fixed", F.col("spelled")).drop("spelled")
+    return _spelled(out, spelling_hits(out, spelling, context, ("fixed",), id_col, lang)[0], id_col)
 
 
 def differences(df: DataFrame, context: Context = Context(), value: str = "value", spelling: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -58,18 +80,26 @@ def diff_report(df: DataFrame, context: Context = Context(), spelling: tuple[Dat
     return fixed.unionByName(review)
 
 
-def routed(df: DataFrame, context: Context = Context(), hits: DataFrame | None = None, spelled: tuple[str, ...] = ("en",), id_col: str = "entry_id", spelling: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def routed(
+    df: DataFrame, context: Context = Context(), hits: DataFrame | None = None, id_col: str = "entry_id", spelling: tuple[DataFrame, DataFrame] | None = None, lang: str = "lang_code"
+) -> DataFrame:
     """Every entry once with its issue counts, category, suggestion and labels.
 
-    ``hits`` are spelling hits by identifier; where a language has no lexicon the
-    spelling count is null: not checked is not clean.
+    With ``spelling`` (lexicon and custom words), words of the values and of what the fixes
+    leave of them are judged together.  Where the lexicon lacks a language the
+    spelling count is null: not checked is not clean.  ``hits`` take the place of
+    hits found here.
     """
-    rows = fix_all(detect(df.where("value is not null"), context=context), context=context, spelling=spelling, id_col=id_col)
-    if hits is not None:
-        n = hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-        rows = rows.join(n, id_col, "left").withColumn("n_spelling", F.when(F.col("lang_code").isin(list(spelled)), F.coalesce("_n", F.lit(0)))).drop("_n")
-    else:
+    rows = fix(detect(df.where("value is not null"), context=context), context=context)
+    if spelling is None:
         rows = rows.withColumn("n_spelling", F.lit(None).cast("bigint"))
+    else:
+        rows = stage(rows, "fixed")
+        before, after = spelling_hits(rows, spelling, context, ("value", "fixed"), id_col, lang)
+        n = (before.where("not known_key") if hits is None else hits).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+        has = checked(rows, spelling[0], lang).select(id_col, F.lit(True).alias("_checked"))
+        rows = _spelled(rows, after, id_col).join(n, id_col, "left").join(has, id_col, "left")
+        rows = rows.withColumn("n_spelling", F.when(F.col("_checked"), F.coalesce("_n", F.lit(0).cast("bigint")))).drop("_n", "_checked")
     rows = rows.withColumn("n_grammar", F.size("grammar").cast("bigint")).withColumn("n_terminology", F.size("terminology").cast("bigint")).withColumn("n_spacing", F.size("spacing").cast("bigint"))
     counts = {c: F.coalesce(f"n_{c.lower()}", F.lit(0).cast("bigint")) for c in K.CATEGORIES}
     rows = rows.withColumn("category", category(counts))
@@ -147,8 +177,23 @@ def column_widths(sheet: DataFrame) -> DataFrame:
     return sheet.agg(*longest).select(F.explode(items).alias("w")).select("w.column", "w.width")
 
 
+def spelling_notes(files: DataFrame, lexicon: DataFrame, lang: str = "lang_code") -> DataFrame:
+    """``(file, note)`` of the files whose language the lexicon lacks, so that their empty spelling sheets do not pass for clean ones."""
+    known = lexicon.select("lang").distinct() if "lang" in lexicon.columns else lexicon.sparkSession.createDataFrame([("en",)], "lang string")
+    bare = files.select("file", F.col(lang).alias("lang")).distinct().join(known, "lang", "left_anti")
+    note = F.concat(F.lit("Note: no spelling dictionary installed for '"), "lang", F.lit("' - spelling not checked, sheet reflects that, not 'no errors'"))
+    return bare.select("file", note.alias("note"))
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """Rows of the duplicates report: ``file, line, key, first_seen_line, value, note``."""
+    return duplicates(df).select("file", "line", "key", "first_seen_line", "value", "note")
+
+
 def full_report(df: DataFrame, lexicon: DataFrame, custom: DataFrame, context: Context = Context()) -> dict[str, DataFrame]:
     """All sheets of entries with ``file, line, key, value, lang_code, lang_name, detection``, spelling included."""
-    hits = stage(check_spelling(df.where(F.col("lang_code").isin(list(K.ENGLISH))), lexicon, custom), "hits")
-    report = stage(routed(df, context, hits, spelling=(lexicon, custom)), "report")
-    return sheets(report, duplicates(df), words_column(hits))
+    rows = df.where("value is not null")
+    words = spelling_hits(rows, (lexicon, custom), context, ("value",), "entry_id", "lang_code")[0]
+    report = stage(routed(rows, context, spelling=(lexicon, custom)), "report")
+    # the words to correct are listed with known abbreviations, which the count of issues leaves out
+    return sheets(report, duplicates(df), words_column(words))

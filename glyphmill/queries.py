@@ -13,11 +13,13 @@ from glyphmill.operators import spelling as S
 from glyphmill.operators.detect import RULES, Context, issues_of
 from glyphmill.operators.duplicates import duplicates, first_seen
 from glyphmill.operators.fix import STEPS, step_changes
-from glyphmill.operators.report import column_widths, diff_report, differences, file_stats, flags, full_report, routed, run_stats, summary
+from glyphmill.operators.report import column_widths, diff_report, differences, duplicate_rows, file_stats, flags, full_report, glossary_keys, routed, run_stats, spelling_notes, summary
 from glyphmill.plans import keep, stage
 from glyphmill.sources.resources import detect_language, entries, fuzzy_words, glossary_pairs, language_code, line_parts, mixed_case_words, word_list
 from glyphmill.sources.sinks import output_name, rewritten_lines
 
+#: Most rows of the tables that are parameters of rules.
+MAX_WORDS = 5_000
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,13 +27,28 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def bounded(df: DataFrame, most: int) -> list:
+    """Rows of a small table; a larger one is an error, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"at most {most} rows are taken as parameters")
+    return rows
+
+
 def context(spark: SparkSession, d: str) -> Context:
-    return Context(glossary=tuple(glossary_pairs(table(spark, d, "glossary"))))
+    """Glossary and custom words; these tables are parameters of the rules and are read whole, up to a bound that is checked."""
+    words = bounded(custom_words(spark, d).select("word", "original"), MAX_WORDS)
+    mixed = tuple(sorted({r.original for r in words if r.original not in (r.original.lower(), r.original.upper())}))
+    return Context(glossary=tuple(glossary_pairs(table(spark, d, "glossary"))), custom=tuple(sorted({r.word for r in words})), mixed=mixed)
+
+
+def codes_of(spark: SparkSession, d: str) -> list[str]:
+    return sorted(r.code for r in bounded(table(spark, d, "languages").select("code").where("code is not null").distinct(), MAX_WORDS))
 
 
 def entry_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Entries with the language of their file; English text is told by its delivered label."""
-    codes = sorted(r.code for r in table(spark, d, "languages").select("code").limit(1000).collect())
+    """Entries with the language of their file."""
+    codes = codes_of(spark, d)
     rows = table(spark, d, "parse_entries").select("entry_id", "file", "line", "key", "value")
     return rows.withColumn("lang_code", language_code(F.col("file"), codes))
 
@@ -44,6 +61,17 @@ def custom_words(spark: SparkSession, d: str) -> DataFrame:
     return word_list(table(spark, d, "glossary").select(F.col("canon").alias("value")))
 
 
+def spellers(spark: SparkSession, d: str) -> DataFrame:
+    """Entries in the languages that have a dictionary."""
+    langs = table(spark, d, "languages").where("has_speller").select(F.col("code").alias("lang_code")).distinct()
+    return entry_rows(spark, d).join(F.broadcast(langs), "lang_code", "left_semi")
+
+
+def lexicons(spark: SparkSession, d: str) -> DataFrame:
+    """``(lang, word, freq)`` of the languages that have a dictionary."""
+    return S.corpus_lexicon(spellers(spark, d), lang="lang_code")
+
+
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
     return S.corpus_lexicon(english(spark, d))
 
@@ -185,22 +213,25 @@ def p19_compound_split(spark, d):
     return b.groupBy("word").agg(F.count(F.lit(1)).alias("n_splits"), F.min(F.concat("c.a", F.lit(" "), "c.b")).alias("first_split"))
 
 
+def _keys(spark, d):
+    return glossary_keys(spark, context(spark, d))
+
+
 def p20_verdicts(spark, d):
-    lex = stage(lexicon(spark, d), "lexicon")
-    out = S.judge(S.word_counts(english(spark, d)), lex, custom_words(spark, d))
-    return out.select("word", F.array_join("suggestions", ", ").alias("suggestions"), "confident", "step")
+    lex, custom = _spelling(spark, d)
+    out = S.judge(S.word_counts(spellers(spark, d), lang="lang_code"), lex, custom, _keys(spark, d)).where("not known_key")
+    return out.select("lang", "word", F.array_join("suggestions", ", ").alias("suggestions"), "confident", "step")
 
 
 def d22_spelling(spark, d):
-    lex = stage(lexicon(spark, d), "lexicon")
-    hits = S.check_spelling(english(spark, d), lex, custom_words(spark, d))
+    hits = S.check_spelling(entry_rows(spark, d), *_spelling(spark, d), lang="lang_code", keys=_keys(spark, d))
     tip = F.when(F.size("suggestions") > 0, F.concat(F.lit(' (did you mean "'), F.get("suggestions", 0), F.lit('"?)'))).otherwise(F.lit(""))
     return hits.select("entry_id", "pos", F.concat(F.lit('Possible misspelling: "'), "word", F.lit('"'), tip).alias("issue"))
 
 
 def f18_spelling(spark, d):
-    rows = english(spark, d).where("value is not null")
-    hits = S.check_spelling(rows, stage(lexicon(spark, d), "lexicon"), custom_words(spark, d))
+    rows = entry_rows(spark, d).where("value is not null")
+    hits = S.check_spelling(rows, *_spelling(spark, d), lang="lang_code", keys=_keys(spark, d))
     return S.apply_spelling(rows, hits).where("spelled <> value").select("entry_id", F.col("spelled").alias("after"))
 
 
@@ -210,7 +241,7 @@ def x18_match_case(spark, d):
 
 
 def _spelling(spark, d):
-    return stage(lexicon(spark, d), "lexicon"), custom_words(spark, d)
+    return stage(lexicons(spark, d), "lexicon"), custom_words(spark, d)
 
 
 def q1_differences(spark, d):
@@ -223,9 +254,7 @@ def u2_diff_report(spark, d):
 
 def _report(spark, d):
     rows = detect_language(entry_rows(spark, d).drop("lang_code"), table(spark, d, "languages"))
-    spelling = _spelling(spark, d)
-    hits = stage(S.check_spelling(rows.where(F.col("lang_code").isin(list(K.ENGLISH))), *spelling), "hits")
-    return routed(rows, context(spark, d), hits, spelling=spelling)
+    return routed(rows, context(spark, d), spelling=_spelling(spark, d))
 
 
 def q3_report(spark, d):
@@ -234,7 +263,7 @@ def q3_report(spark, d):
 
 def q3_workbook(spark, d):
     rows = detect_language(entry_rows(spark, d).drop("lang_code"), table(spark, d, "languages"))
-    book = full_report(rows, stage(lexicon(spark, d), "lexicon"), custom_words(spark, d), context(spark, d))
+    book = full_report(rows, *_spelling(spark, d), context(spark, d))
     parts = [sheet.select(F.lit(name).alias("sheet"), "file", F.to_json(F.struct(*sheet.columns)).alias("row")) for name, sheet in book.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -269,13 +298,23 @@ def q8_summary(spark, d):
 
 
 def k1_rewritten(spark, d):
-    codes = sorted(r.code for r in table(spark, d, "languages").select("code").limit(1000).collect())
-    lines = table(spark, d, "resource_lines").withColumn("lang_code", language_code(F.col("file"), codes))
-    return rewritten_lines(lines, context(spark, d), _spelling(spark, d))
+    return rewritten_lines(table(spark, d, "resource_lines"), context(spark, d), _spelling(spark, d))
+
+
+def k3_duplicates(spark, d):
+    return duplicate_rows(entry_rows(spark, d).where("value is not null"))
+
+
+def k5_spelling_notes(spark, d):
+    return spelling_notes(entry_rows(spark, d), lexicons(spark, d))
+
+
+def o1_files(spark, d):
+    return table(spark, d, "resource_lines").select("file").distinct().orderBy("file")
 
 
 def k9_output_names(spark, d):
-    return table(spark, d, "resource_files").select("file", output_name(F.col("file")).alias("fixed"), output_name(F.col("file"), ".diff_report.csv").alias("report"), output_name(F.col("file"), ".duplicates.csv").alias("duplicates"))
+    return table(spark, d, "resource_files").select("file", output_name(F.col("file")).alias("fixed"), output_name(F.col("file"), ".diff_report.csv").alias("report"), output_name(F.col("file"), ".duplicates.csv").alias("duplicates"), output_name(F.col("file"), ".qa_report.xlsx").alias("workbook"))
 
 
 def u1_skip_words(spark, d):
@@ -294,7 +333,7 @@ def _step(step_id: str) -> Query:
 NAMED = (
     s1_lines, s2_parse_entries, s2_line_parts, s4_glossary, s5_custom_words, s7_fuzzy_words, s8_mixed_case_words, s10_detect_language, s11_language_override,
     s12_lexicon_languages, d22_spelling, d23_duplicates, d24_flags, w1_first_seen, f18_spelling, x18_match_case, q1_differences, u2_diff_report,
-    q3_report, q3_workbook, a1_run_stats, a2_file_stats, a2_category_pivot, a6_widths, q7_clean, q8_summary, k1_rewritten, k9_output_names, u1_skip_words,
+    q3_report, q3_workbook, a1_run_stats, a2_file_stats, a2_category_pivot, a6_widths, q7_clean, q8_summary, k1_rewritten, k3_duplicates, k5_spelling_notes, k9_output_names, o1_files, u1_skip_words,
 )
 #: Spelling steps; their names must not look like those of numbered problems.
 SPELL = (p00_checked, p02_stray_quotes, p03_tokens, p06_inflected, p08_real_words, p09_oov, p09_lexicon, p10_prefix, p11_regional, p12_known_fixes, p13_stray_capital, p14_transposition, p16_domain_words, p17_near_words, p19_compound_split, p20_verdicts)

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from glyphmill.functions import fixed as K
 from glyphmill.functions.text import strip
 
+MAX_LANGUAGES = 5_000
+# Fixed value: the grammar of a line that is an entry.
 LINE = r'(?d)^(\s*)languageResource\.([A-Za-z0-9_]+)\s*=\s*"((?:[^"\\]|\\.)*)"(\s*;)?(\s*(?://.*)?)\r?$'
 
 
@@ -48,7 +50,13 @@ def language_code(file: Column, codes: list[str] | None = None) -> Column:
 
 def detect_language(files: DataFrame, languages: DataFrame | None = None, override: str | None = None) -> DataFrame:
     """Add ``lang_code, lang_name, detection``; an override that is no known code names itself."""
-    names = dict(K.LANGUAGES) if languages is None else {r.code: r.name for r in languages.select("code", "name").limit(1000).collect()}
+    if languages is None:
+        names = dict(K.LANGUAGES)
+    else:
+        rows = languages.select("code", "name").where("code is not null").limit(MAX_LANGUAGES + 1).collect()
+        if len(rows) > MAX_LANGUAGES:
+            raise ValueError(f"at most {MAX_LANGUAGES} languages")
+        names = {r.code: r.name for r in rows}
     code = F.lit(override) if override else language_code(F.col("file"), sorted(names))
     name = F.lit(None).cast("string")
     for c, n in sorted(names.items()):

@@ -19,7 +19,7 @@ def output_name(file: Column, ending: str = ".FIXED.js") -> Column:
 def rewritten_lines(lines: DataFrame, context: Context = Context(), spelling: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(file, line, text)``: entries with their fixed value in the normal layout, other lines as they stand.
 
-    With ``spelling``, ``lines`` have a ``lang_code``.
+    With ``spelling``, all files are taken as English.
     """
     parts = fix_all(line_parts(lines).withColumn("_id", F.concat_ws("\n", "file", "line")), "value", context, spelling, "_id")
     semi = F.when(F.coalesce(F.regexp_replace("semi", r"\s", ""), F.lit("")) == "", F.lit(";")).otherwise(F.col("semi"))
@@ -27,9 +27,9 @@ def rewritten_lines(lines: DataFrame, context: Context = Context(), spelling: tu
     return parts.select("file", "line", F.when(F.col("is_entry"), entry).otherwise(F.col("raw")).alias("text"))
 
 
-def write_rewritten(lines: DataFrame, path: str, context: Context = Context()) -> None:
+def write_rewritten(lines: DataFrame, path: str, context: Context = Context(), spelling: tuple[DataFrame, DataFrame] | None = None) -> None:
     """Write the fixed files below ``path``, a folder for each file, lines in order; a file is split nowhere."""
-    out = rewritten_lines(lines, context).withColumn("name", output_name(F.col("file")))
+    out = rewritten_lines(lines, context, spelling).withColumn("name", output_name(F.col("file")))
     out.repartition("name").sortWithinPartitions("name", "line").select("name", F.col("text").alias("value")).write.mode("error").partitionBy("name").text(path)
 
 

@@ -108,7 +108,7 @@ SQL: dict[str, str] = {
     "SELECT file, coalesce(f.code, 'unknown') AS lang_code, coalesce(name, 'Unknown') AS lang_name, CASE WHEN f.code IS NULL THEN 'unknown' ELSE 'filename' END AS detection FROM f LEFT JOIN languages ON f.code = languages.code",
     "s11_language_override": "SELECT file, 'sv' AS lang_code, 'sv' AS lang_name, 'manual' AS detection FROM resource_files",
     "s12_lexicon_languages": "SELECT lang_code, count(*) AS n_files FROM resource_files WHERE lang_code IN (SELECT code FROM languages WHERE has_speller) GROUP BY lang_code",
-    "k9_output_names": "SELECT file, regexp_replace(file, '\\.[^.]*$', '') || '.FIXED.js' AS fixed, regexp_replace(file, '\\.[^.]*$', '') || '.diff_report.csv' AS report, regexp_replace(file, '\\.[^.]*$', '') || '.duplicates.csv' AS duplicates FROM resource_files",
+    "k9_output_names": "SELECT file, regexp_replace(file, '\\.[^.]*$', '') || '.FIXED.js' AS fixed, regexp_replace(file, '\\.[^.]*$', '') || '.diff_report.csv' AS report, regexp_replace(file, '\\.[^.]*$', '') || '.duplicates.csv' AS duplicates, regexp_replace(file, '\\.[^.]*$', '') || '.qa_report.xlsx' AS workbook FROM resource_files",
     "u1_skip_words": f"WITH {CUSTOM}, {GLOSSARY} SELECT word FROM custom UNION SELECT wrong FROM g",
     "d01_trim": simple(f"v <> regexp_replace(v, '^{W}+|{W}+$', '', 'g')", K.M_TRIM),
     "d02_double_space": simple("contains(v, '  ')", K.M_DOUBLE_SPACE),
