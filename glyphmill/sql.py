@@ -96,6 +96,59 @@ def part(i: int) -> str:
     return f"regexp_extract(raw, {s(LINE)}, {i})"
 
 
+#: Glossary pairs as lists, custom words, and phrases as one alternation, for rules that look at every pair.
+LISTS = (
+    f"{GLOSSARY}, {CUSTOM}, gl AS (SELECT list(DISTINCT x) AS terms FROM (SELECT wrong AS x FROM g WHERE NOT contains(wrong, ' ') UNION SELECT lower(canon) FROM g WHERE NOT contains(wrong, ' ') UNION SELECT word FROM custom) q), "
+    "ph AS (SELECT coalesce('(?i)(?:' || string_agg(regexp_escape(wrong), '|' ORDER BY length(wrong) DESC, ord) || ')', '[^\\s\\S]') AS phrases FROM g WHERE contains(wrong, ' '))"
+)
+
+
+def placed(text: str, pattern: str) -> str:
+    """Matches of a pattern with their places, from 1: what lies between them is measured."""
+    found, between = f"regexp_extract_all({text}, {pattern})", f"string_split_regex({text}, {pattern})"
+    before = f"list_sum(list_transform({between}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda x: length(x))), 0)"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: struct_pack(t := {found}[i], at := 1 + {before}))"
+
+
+def word_at(text: str, at: str) -> str:
+    return f"regexp_full_match(substr({text}, {at}, 1), '{RUN}')"
+
+
+ACTION_WORDS = f"'(?i)(?:click|tap|press|select|choose|hit){W}+(?:on{W}+|the{W}+)?[A-Za-z][A-Za-z/-]*'"
+MINOR = items(("of", "the", "a", "an", "in", "to", "and", "or", "is", "are", "was", "were", "by", "on", "at", "as", "per", "vs", "nor", "but", "for"))
+
+
+def casing_steps(name: str, source: str, text: str) -> str:
+    """Tables ``name_w``, with words and protected stretches, and ``name``, with words and whether each is free to change or vote."""
+    lone = "regexp_full_match(r[i].t, '[A-Za-z]+')"
+    near = f"(i > 1 AND regexp_full_match(r[i - 1].t, '[A-Za-z]+') AND substr({text}, CAST(r[i - 1].at + length(r[i - 1].t) AS BIGINT), CAST(r[i].at - r[i - 1].at - length(r[i - 1].t) AS BIGINT)) IN ('-', '/'))"
+    after = f"(i < len(r) AND regexp_full_match(r[i + 1].t, '[A-Za-z]+') AND substr({text}, CAST(r[i].at + length(r[i].t) AS BIGINT), CAST(r[i + 1].at - r[i].at - length(r[i].t) AS BIGINT)) IN ('-', '/'))"
+    target = "regexp_extract(x.t, '[A-Za-z][A-Za-z/-]*$')"
+    return (
+        f"{name}_r AS (SELECT *, {placed(text, chr(39) + RUN + '+' + chr(39))} AS r, {placed(text, chr(39) + chr(91) + 'A-Za-z' + chr(39) * 2 + chr(93) + '+' + chr(39))} AS w, "
+        f"{placed(text, 'phrases')} AS p, {placed(text, ACTION_WORDS)} AS a FROM {source}, gl, ph), "
+        f"{name}_w AS (SELECT *, list_transform(list_filter(range(1, len(r) + 1), lambda i: {lone} AND ({near} OR {after})), lambda i: struct_pack(lo := r[i].at, hi := r[i].at + length(r[i].t))) "
+        f"|| list_transform(list_filter(p, lambda x: NOT {word_at(text, 'CAST(x.at - 1 AS BIGINT)')} AND NOT {word_at(text, 'CAST(x.at + length(x.t) AS BIGINT)')}), lambda x: struct_pack(lo := x.at, hi := x.at + length(x.t))) "
+        f"|| list_transform(list_filter(a, lambda x: (x.at = 1 OR NOT {word_at(text, 'CAST(x.at - 1 AS BIGINT)')}) AND NOT {word_at(text, 'CAST(x.at + length(x.t) AS BIGINT)')}), lambda x: struct_pack(lo := x.at + length(x.t) - length({target}), hi := x.at + length(x.t))) AS held FROM {name}_r), "
+        f"{name} AS (SELECT *, list_transform(w, lambda x: struct_pack(t := x.t, at := x.at, content := length(x.t) > 1 AND lower(x.t) NOT IN {MINOR}, "
+        "free := NOT (x.t = upper(x.t) AND x.t <> lower(x.t)) AND NOT list_contains(terms, lower(x.t)) AND len(list_filter(held, lambda h: h.lo <= x.at AND x.at < h.hi)) = 0, "
+        f"titled := regexp_matches(x.t, '^[A-Z]') AND NOT (x.t = upper(x.t) AND x.t <> lower(x.t)), low := regexp_matches(x.t, '^[a-z]'))) AS tok FROM {name}_w)"
+    )
+
+
+#: Votes on casing: words after the first content word that are free, in values of one sentence.
+VOTES = (
+    f"{LISTS}, c0 AS (SELECT entry_id, lang_code, v, regexp_replace(v, '(^|{N})No\\.{W}*', '\\1', 'g') AS plain FROM e), {casing_steps('c1', 'c0', 'plain')}, "
+    "c2 AS (SELECT entry_id, lang_code, v, list_filter(tok, lambda x: x.content) AS content FROM c1), "
+    f"votes AS (SELECT entry_id, lang_code, v, list_filter(content[2:], lambda x: x.free) AS vote, len(content) >= 3 AND NOT regexp_matches(v, '[.!?]{W}+[A-Z]') AS able FROM c2), "
+    "kinds AS (SELECT entry_id, lang_code, v, CASE WHEN able AND len(list_filter(vote, lambda x: x.titled)) > 0 THEN CASE WHEN len(list_filter(vote, lambda x: x.low)) > 0 THEN 'mixed' ELSE 'title' END END AS kind FROM votes)"
+)
+RECASED = (
+    f"{VOTES}, k1 AS (SELECT entry_id, v FROM kinds WHERE kind IS NOT NULL), {casing_steps('k2', 'k1', 'v')}, "
+    "k3 AS (SELECT entry_id, v, tok, coalesce(list_min(list_transform(list_filter(tok, lambda x: x.content), lambda x: x.at)), 0) AS head FROM k2), "
+    "k4 AS (SELECT entry_id, v, list_transform(tok, lambda x: CASE WHEN x.content AND x.at > head AND x.free AND x.titled THEN lower(left(x.t, 1)) || substr(x.t, 2) ELSE x.t END) AS new, string_split_regex(v, '[A-Za-z'']+') AS gaps FROM k3)"
+)
+
 SQL: dict[str, str] = {
     "s1_lines": "SELECT file, count(*) AS n_lines, max(line) AS last_line FROM resource_lines GROUP BY file",
     "s2_parse_entries": f"SELECT file, line, {part(2)} AS key, {part(3)} AS value FROM resource_lines WHERE regexp_matches(raw, {s(LINE)})",
@@ -124,6 +177,8 @@ SQL: dict[str, str] = {
     "d12_fail_to": simple(matches(f"(?:^|[.!?]{W}+)[Ff]ail{W}+to(?:{N}|$)"), K.M_FAIL, ENGLISH),
     "d13_sentence_case": unnested(f"list_transform(list_filter(regexp_extract_all(v, {s(START)}), lambda t: {BAD_START}), lambda t: {s(K.M_START)})", ENGLISH),
     "d14_comma_case": unnested(f"list_transform({COMMA_LIST}, lambda x: '\"' || x || '\" should be lowercase after a mid-sentence comma: \"...,  ' || lower(x) || '...\"')", ENGLISH),
+    "d15_mixed_case": f"{E}, {VOTES} SELECT entry_id, CAST(0 AS INTEGER) AS issue_no, 'Inconsistent capitalization - mixes Title Case and sentence case within the same string' AS issue FROM kinds WHERE kind = 'mixed' AND {ENGLISH}",
+    "d16_title_case": f"{E}, {VOTES} SELECT entry_id, CAST(0 AS INTEGER) AS issue_no, 'Sentence is written in Title Case - normal UI sentences should use sentence case (capitalize only the first word and any defined terminology)' AS issue FROM kinds WHERE kind = 'title' AND {ENGLISH}",
     "d17_repeated_word": unnested(REPEATED_TEXT),
     "d18_passive": f"{E} SELECT entry_id, CAST(0 AS INTEGER) AS issue_no, '\"' || m || '\" should be \"' || regexp_replace(m, '(?i)^(been|being){W}+handovers?$', '\\1 handed over') || '\"' AS issue FROM (SELECT entry_id, regexp_extract(v, {s(PASSIVE)}, 1) AS m FROM e WHERE {ENGLISH}) q WHERE m <> ''",
     "d19_glossary": f"{E}, {GLOSSARY} SELECT entry_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY ord) - 1 AS INTEGER) AS issue_no, '\"' || wrong || '\" should be \"' || canon || '\"' AS issue FROM e, g WHERE {ENGLISH} AND CASE WHEN contains(lower(v), wrong) THEN regexp_matches(v, '(?i)(?:^|{N})' || regexp_escape(wrong) || '(?:{N}|$)') ELSE false END AND NOT contains(v, canon)",
@@ -148,6 +203,17 @@ SQL: dict[str, str] = {
     "f13_comma_splice": changed(replaced(f"(?s)^(.*?),({W}+(?:{AUX})(?:[^.!?\\pL\\pN_][^.!?]*)?\\?)", "\\1.\\2", "")),
     "f14_fail_to": changed(replaced(f"(^|[.!?]{W}+)([Ff])ail({W}+to)({N}|$)", "\\1\\2ailed\\3\\4")),
     "f15_capitalize": changed(rebuilt(START, f"CASE WHEN {BAD_START} THEN left(t, length(t) - length({START_WORD})) || upper(left({START_WORD}, 1)) || substr({START_WORD}, 2) ELSE t END")),
+    "f16_sentence_case": f"{E}, {RECASED} SELECT entry_id, after FROM (SELECT entry_id, v, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(new[i], '')), '') AS after FROM k4) q WHERE after <> v",
+    "f17_glossary": f"{E.replace('WITH ', 'WITH RECURSIVE ', 1)}, {GLOSSARY}, n AS (SELECT row_number() OVER (ORDER BY ord) AS k, wrong, canon FROM g), "
+    f"r AS (SELECT entry_id, v AS before, v, 0 AS k FROM e UNION ALL SELECT entry_id, before, CASE WHEN contains(lower(v), wrong) THEN regexp_replace(regexp_replace(v, '(?i)(^|{N})' || regexp_escape(wrong) || '({N}|$)', '\\1' || canon || '\\2', 'g'), '(?i)(^|{N})' || regexp_escape(wrong) || '({N}|$)', '\\1' || canon || '\\2', 'g') ELSE v END, n.k FROM r JOIN n ON n.k = r.k + 1) "
+    "SELECT entry_id, v AS after FROM r WHERE k = (SELECT max(k) FROM n) AND v <> before",
+    "k3_duplicates": "WITH r AS (SELECT file, line, key, value, first_value(line) OVER w AS first_seen_line, row_number() OVER w AS n FROM parse_entries WHERE value IS NOT NULL AND key IS NOT NULL WINDOW w AS (PARTITION BY file, key ORDER BY line, entry_id)) "
+    "SELECT file, line, key, first_seen_line, value, 'Duplicate key - both copies kept as-is, needs manual decision on which is correct' AS note FROM r WHERE n > 1",
+    "k5_spelling_notes": f"{E.replace('WHERE value IS NOT NULL', '')}, have AS (SELECT DISTINCT lang_code FROM (SELECT lang_code, unnest(regexp_extract_all(lower(v), '[a-z'']+')) AS word FROM e WHERE lang_code IN (SELECT code FROM languages WHERE has_speller)) q WHERE length(word) >= 2 GROUP BY lang_code, word HAVING count(*) >= 5) "
+    "SELECT DISTINCT file, 'Note: no spelling dictionary installed for ''' || lang_code || ''' - spelling not checked, sheet reflects that, not ''no errors''' AS note FROM e WHERE lang_code NOT IN (SELECT lang_code FROM have)",
+    "o1_files": "SELECT DISTINCT file FROM resource_lines",
+    "a6_widths": "WITH r AS (SELECT line, key, value, row_number() OVER (PARTITION BY file, key ORDER BY line, entry_id) AS n FROM parse_entries WHERE value IS NOT NULL AND key IS NOT NULL) "
+    "SELECT c AS \"column\", CAST(least(80, 2 + greatest(10, length(c), coalesce(m, 0))) AS INTEGER) AS width FROM (SELECT unnest(['line', 'key', 'value']) AS c, unnest([max(length(CAST(line AS VARCHAR))), max(length(key)), max(length(value))]) AS m FROM r WHERE n > 1) q",
     "x18_match_case": f"{E}, {TOKENS} SELECT word, CASE WHEN word = upper(word) AND word <> lower(word) THEN 'FIXED' WHEN left(word, 1) <> lower(left(word, 1)) AND substr(word, 2) = lower(substr(word, 2)) AND substr(word, 2) <> upper(substr(word, 2)) THEN 'Fixed' WHEN word = lower(word) AND word <> upper(word) THEN 'fixed' ELSE 'fiXed' END AS cased FROM tok",
     "spell_p00_checked": f"{E.replace('WHERE value IS NOT NULL', '')} SELECT lang_code, count(*) FILTER (WHERE coalesce(has_speller, false)) AS n_checked, count(*) AS n FROM e LEFT JOIN languages ON code = lang_code GROUP BY lang_code",
     "spell_p02_stray_quotes": f"{E}, q AS (SELECT entry_id, list_filter(regexp_extract_all(regexp_replace(v, '\\[[^\\]]*\\]', '#', 'g'), '[A-Za-z]+[\"‘’“”][A-Za-z]+'), lambda x: x <> upper(x)) AS w FROM e WHERE {ENGLISH}) SELECT entry_id, CAST(i - 1 AS INTEGER) AS no, w[i] AS word, regexp_replace(w[i], '[\"‘’“”]', '''', 'g') AS fix FROM q, unnest(range(1, len(w) + 1)) t(i)",
