@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from glyphmill.functions import fixed as K
 from glyphmill.functions.text import match_case
 from glyphmill.operators import spelling as S
-from glyphmill.operators.detect import RULES, Context, issues_of
+from glyphmill.operators.detect import RULES, Context, detect, issues_of
 from glyphmill.operators.duplicates import duplicates, first_seen
-from glyphmill.operators.fix import STEPS, step_changes
+from glyphmill.operators.fix import STEPS, fix, step_changes
 from glyphmill.operators.report import column_widths, diff_report, differences, duplicate_rows, file_stats, flags, full_report, glossary_keys, routed, run_stats, spelling_notes, summary
 from glyphmill.plans import keep, stage
 from glyphmill.sources.resources import detect_language, entries, fuzzy_words, glossary_pairs, language_code, line_parts, mixed_case_words, word_list
@@ -305,6 +305,17 @@ def k3_duplicates(spark, d):
     return duplicate_rows(entry_rows(spark, d).where("value is not null"))
 
 
+def fix_steps(spark, d):
+    out = fix(entry_rows(spark, d).where("value is not null"), context=context(spark, d))
+    return keep(out, F.size("labels") > 0).select("entry_id", "fixed", F.array_join("labels", "; ").alias("labels"))
+
+
+def detect_counts(spark, d):
+    out = detect(entry_rows(spark, d).where("value is not null"), context=context(spark, d))
+    out = out.select("entry_id", *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("spacing", "grammar", "terminology")])
+    return keep(out, F.col("n_spacing") + F.col("n_grammar") + F.col("n_terminology") > 0)
+
+
 def k5_spelling_notes(spark, d):
     return spelling_notes(entry_rows(spark, d), lexicons(spark, d))
 
@@ -333,7 +344,7 @@ def _step(step_id: str) -> Query:
 NAMED = (
     s1_lines, s2_parse_entries, s2_line_parts, s4_glossary, s5_custom_words, s7_fuzzy_words, s8_mixed_case_words, s10_detect_language, s11_language_override,
     s12_lexicon_languages, d22_spelling, d23_duplicates, d24_flags, w1_first_seen, f18_spelling, x18_match_case, q1_differences, u2_diff_report,
-    q3_report, q3_workbook, a1_run_stats, a2_file_stats, a2_category_pivot, a6_widths, q7_clean, q8_summary, k1_rewritten, k3_duplicates, k5_spelling_notes, k9_output_names, o1_files, u1_skip_words,
+    q3_report, q3_workbook, a1_run_stats, a2_file_stats, a2_category_pivot, a6_widths, q7_clean, q8_summary, k1_rewritten, k3_duplicates, k5_spelling_notes, fix_steps, detect_counts, k9_output_names, o1_files, u1_skip_words,
 )
 #: Spelling steps; their names must not look like those of numbered problems.
 SPELL = (p00_checked, p02_stray_quotes, p03_tokens, p06_inflected, p08_real_words, p09_oov, p09_lexicon, p10_prefix, p11_regional, p12_known_fixes, p13_stray_capital, p14_transposition, p16_domain_words, p17_near_words, p19_compound_split, p20_verdicts)

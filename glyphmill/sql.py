@@ -227,7 +227,89 @@ SQL: dict[str, str] = {
     "spell_p12_known_fixes": f"{OOV}, fx AS (SELECT * FROM (VALUES {', '.join(f'({s(a)}, {s(b)})' for a, b in (K.CONTRACTIONS | K.TYPOS).items())}) t(a, b)) SELECT word, b AS fix FROM oov JOIN fx ON low = a",
     "spell_p13_stray_capital": f"{E}, {LEXICON}, {TOKENS} SELECT word, lower(word) AS fix FROM tok WHERE regexp_matches(substr(word, 2), '[A-Z]') AND lower(word) IN (SELECT word FROM lex)",
     "spell_p14_transposition": f"{OOV}, c AS (SELECT word, left(low, i - 1) || substr(low, i + 1, 1) || substr(low, i, 1) || substr(low, i + 2) AS form FROM oov, unnest(range(1, length(low))) t(i) WHERE substr(low, i, 1) <> substr(low, i + 1, 1)) SELECT word, min(form) AS fix FROM c WHERE form IN (SELECT word FROM lex) GROUP BY word HAVING count(DISTINCT form) = 1",
-    "spell_p16_domain_words": f"{OOV}, {CUSTOM} SELECT oov.word, custom.word AS target, CAST(levenshtein(low, custom.word) AS INTEGER) AS d FROM oov, custom WHERE length(oov.word) >= 4 AND length(custom.word) >= 4 AND levenshtein(low, custom.word) <= 2",
-    "spell_p17_near_words": f"{OOV} SELECT oov.word, lex.word AS target, CAST(levenshtein(low, lex.word) AS INTEGER) AS d FROM oov, lex WHERE length(oov.word) >= 4 AND length(lex.word) >= 3 AND levenshtein(low, lex.word) <= 2",
+    "spell_p16_domain_words": f"{OOV}, {CUSTOM} SELECT oov.word, custom.word AS target, CAST(levenshtein(low, custom.word) AS INTEGER) AS d FROM oov, custom WHERE length(oov.word) >= 3 AND length(custom.word) >= 4 AND levenshtein(low, custom.word) <= 2",
+    "spell_p17_near_words": f"{OOV} SELECT oov.word, lex.word AS target, CAST(levenshtein(low, lex.word) AS INTEGER) AS d FROM oov, lex WHERE length(oov.word) >= 3 AND length(lex.word) >= 2 AND levenshtein(low, lex.word) <= 2",
     "spell_p19_compound_split": f"{OOV}, c AS (SELECT word, left(low, i) AS a, substr(low, i + 1) AS b FROM oov, unnest(range(3, length(low) - 2)) t(i) WHERE word = low AND length(word) >= 6) SELECT word, count(*) AS n_splits, min(a || ' ' || b) AS first_split FROM c WHERE a IN (SELECT word FROM lex) AND b IN (SELECT word FROM lex) GROUP BY word",
 }
+
+
+def _expression(step: str) -> str:
+    """The expression of a single step, as its own form has it."""
+    return SQL[step].split("SELECT entry_id, v, ", 1)[1].rsplit(" AS after FROM e) q", 1)[0]
+
+
+_LABELS = {
+    "f01_trim": K.L_TRIM, "f02_no_of": K.L_NO_OF, "f03_number_of": K.L_NUMBER_OF, "f04_passive": K.L_PASSIVE, "f05_identifier": K.L_ID, "f06_double_space": K.L_DOUBLE_SPACE,
+    "f07_missing_space": K.L_MISSING_SPACE, "f08_comma_case": K.L_COMMA, "f09_space_before_stop": K.L_SPACE_BEFORE, "f10_space_before_mark": K.L_SPACE_BEFORE,
+    "f11_repeated_mark": K.L_REPEATED, "f12_double_period": K.L_DOUBLE_PERIOD, "f13_comma_splice": K.L_SPLICE, "f14_fail_to": K.L_FAIL, "f15_capitalize": K.L_START,
+}
+
+
+def _pipeline() -> str:
+    """All structural steps one after another, each on what the one before leaves, with the labels of those that change it."""
+    label = "CASE WHEN after <> v THEN list_append(labels, {}) ELSE labels END AS labels"
+    out = [E.replace("WITH ", "WITH RECURSIVE ", 1), LISTS, "s0 AS MATERIALIZED (SELECT entry_id, lang_code, v, v AS before, CAST([] AS VARCHAR[]) AS labels FROM e)"]
+    for i, (step, name) in enumerate(_LABELS.items(), 1):
+        out.append(f"s{i} AS MATERIALIZED (SELECT entry_id, lang_code, after AS v, before, {label.format(s(name))} FROM (SELECT *, {_expression(step)} AS after FROM s{i - 1}) q)")
+    n = len(_LABELS)
+    out.append(RECASED.split(", c0 AS", 1)[1].join(["c0 AS", ""]).replace("FROM e)", f"FROM s{n})", 1))
+    out.append("k5 AS (SELECT entry_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(new[i], '')), '') AS recased FROM k4)")
+    out.append(f"t0 AS MATERIALIZED (SELECT entry_id, after AS v, before, {label.format(s(K.L_CASING))} FROM (SELECT s{n}.*, coalesce(recased, v) AS after FROM s{n} LEFT JOIN k5 USING (entry_id)) q)")
+    out.append("n AS (SELECT row_number() OVER (ORDER BY ord) AS k, wrong, canon FROM g)")
+    whole = f"'(?i)(^|{N})' || regexp_escape(wrong) || '({N}|$)', '\\1' || canon || '\\2', 'g'"
+    out.append(
+        "r AS (SELECT entry_id, v, v AS old, before, labels, 0 AS k FROM t0 UNION ALL SELECT entry_id, CASE WHEN contains(lower(v), wrong) THEN "
+        f"regexp_replace(regexp_replace(v, {whole}), {whole}) ELSE v END, old, before, labels, n.k FROM r JOIN n ON n.k = r.k + 1)"
+    )
+    return ", ".join(out) + f" SELECT entry_id, v AS fixed, array_to_string(CASE WHEN v <> old THEN list_append(labels, {s(K.L_GLOSSARY)}) ELSE labels END, '; ') AS labels FROM r WHERE k = (SELECT max(k) FROM n) AND (v <> old OR len(labels) > 0)"
+
+
+def _counts() -> str:
+    """Issues of every entry by category, from the forms of the single rules."""
+    kinds = {"spacing": ("d01", "d02", "d03", "d04", "d05", "d06"), "terminology": ("d19", "d20", "d21"), "grammar": ("d07", "d08", "d09", "d10", "d11", "d12", "d13", "d14", "d15", "d16", "d17", "d18")}
+    parts = [f"SELECT entry_id, '{kind}' AS kind FROM ({SQL[name]}) q" for kind, ids in kinds.items() for name in SQL if name[:3] in ids]
+    sums = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in kinds)
+    return f"SELECT entry_id, {sums} FROM ({' UNION ALL '.join(parts)}) q GROUP BY entry_id"
+
+
+SQL["fix_steps"] = _pipeline()
+SQL["detect_counts"] = _counts()
+
+_FIXES = lambda words: ", ".join(f"({s(a)}, {s(b)})" for a, b in words.items())
+_REST = " UNION ALL ".join(f"SELECT lang, word, substr(low, {len(p) + 1}) AS form FROM o WHERE starts_with(low, {s(p)}) AND length(low) >= {len(p) + 3}" for p in K.PREFIXES)
+_REGION = " UNION ALL ".join(
+    f"SELECT lang, word, left(low, length(low) - {len(x)}) || {s(y)} FROM o WHERE ends_with(low, {s(x)})" for a, b in K.SUFFIX_PAIRS for x, y in ((a, b), (b, a))
+)
+#: The spelling cascade over the words of the languages that have a dictionary, decision by decision.
+_VERDICTS = (
+    f"{E}, {CUSTOM}, {GLOSSARY}, sp AS (SELECT entry_id, lang_code AS lang, v FROM e WHERE lang_code IN (SELECT code FROM languages WHERE has_speller)), "
+    "lex AS MATERIALIZED (SELECT lang, word, count(*) AS freq FROM (SELECT lang, unnest(regexp_extract_all(lower(v), '[a-z'']+')) AS word FROM sp) q WHERE length(word) >= 2 GROUP BY lang, word HAVING count(*) >= 5), "
+    "tl AS (SELECT entry_id, lang, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(v, '\\[[^\\]]*\\]', '#', 'g'), '[A-Za-z]+[\"‘’“”][A-Za-z]+', '#', 'g'), '[A-Za-z'']+'), lambda x: regexp_replace(x, '^''+|''+$', '', 'g')), "
+    "lambda x: length(x) >= 3 AND NOT (x = upper(x) AND x <> lower(x)) AND NOT regexp_full_match(x, '[A-Za-z]*[a-z]ID')) AS words FROM sp), "
+    f"skip AS (SELECT word || unnest({['', *K.INFLECTIONS]}) AS low FROM (SELECT word FROM custom UNION SELECT wrong FROM g) q), "
+    "o AS MATERIALIZED (SELECT DISTINCT lang, word, lower(word) AS low FROM (SELECT lang, unnest(words) AS word FROM tl) q WHERE lower(word) NOT IN (SELECT low FROM skip) AND lower(word) <> 'cancelled'), "
+    f"rw AS (SELECT * FROM (VALUES {_FIXES(K.REAL_WORDS)}) t(low, fix)), kf AS (SELECT * FROM (VALUES {_FIXES(K.CONTRACTIONS | K.TYPOS)}) t(low, fix)), "
+    f"ac AS (SELECT DISTINCT c.lang, c.word FROM ({_REST} UNION ALL {_REGION}) c JOIN lex ON lex.lang = c.lang AND lex.word = form), "
+    "d1 AS MATERIALIZED (SELECT o.*, rw.fix AS real_fix, lex.word IS NOT NULL AS is_real FROM o LEFT JOIN rw USING (low) LEFT JOIN lex ON lex.lang = o.lang AND lex.word = o.low), "
+    "d2 AS MATERIALIZED (SELECT d1.* FROM d1 LEFT JOIN ac ON ac.lang = d1.lang AND ac.word = d1.word WHERE real_fix IS NOT NULL OR (ac.word IS NULL AND (NOT is_real OR NOT (d1.word = low OR (d1.word = upper(d1.word) AND d1.word <> lower(d1.word)) OR substr(d1.word, 2) = substr(low, 2))))), "
+    "sw AS (SELECT c.lang, c.word, min(form) AS swapped FROM (SELECT lang, word, left(low, i - 1) || substr(low, i + 1, 1) || substr(low, i, 1) || substr(low, i + 2) AS form FROM d2, unnest(range(1, length(low))) t(i) WHERE substr(low, i, 1) <> substr(low, i + 1, 1)) c JOIN lex ON lex.lang = c.lang AND lex.word = form GROUP BY c.lang, c.word HAVING count(DISTINCT form) = 1), "
+    "d3 AS MATERIALIZED (SELECT d2.*, kf.fix AS known, swapped, CASE WHEN real_fix IS NOT NULL THEN 'real word' WHEN kf.fix IS NOT NULL THEN 'known fix' WHEN is_real THEN 'stray capital' WHEN swapped IS NOT NULL THEN 'transposition' END AS step FROM d2 LEFT JOIN kf USING (low) LEFT JOIN sw ON sw.lang = d2.lang AND sw.word = d2.word), "
+    "nw AS (SELECT d3.lang, d3.word, lex.word AS target, levenshtein(low, lex.word) AS d, freq FROM d3 JOIN lex ON lex.lang = d3.lang AND abs(length(lex.word) - length(low)) <= 2 WHERE step IS NULL AND levenshtein(low, lex.word) <= 2), "
+    "top AS (SELECT lang, word, min(d) AS d, list(target ORDER BY d, freq DESC, target) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY lang, word ORDER BY d, freq DESC, target) AS k FROM nw) q WHERE k <= 3 GROUP BY lang, word), "
+    "dw AS (SELECT DISTINCT d3.word, custom.word AS target, levenshtein(low, custom.word) AS d FROM d3, custom WHERE step IS NULL AND length(custom.word) >= 4 AND abs(length(custom.word) - length(low)) <= 2 AND levenshtein(low, custom.word) <= 2), "
+    "dm AS (SELECT word, min(d) AS dd, arg_min(target, d) AS domain FROM dw GROUP BY word), dt AS (SELECT dm.*, (SELECT count(*) FROM dw WHERE dw.word = dm.word AND dw.d = dm.dd) AS ties FROM dm), "
+    "cs AS (SELECT c.lang, c.word, list(a || ' ' || b ORDER BY a) AS splits, list(a) AS heads FROM (SELECT lang, word, left(low, i) AS a, substr(low, i + 1) AS b FROM d3, unnest(range(3, length(low) - 2)) t(i) WHERE step IS NULL AND length(low) >= 6) c "
+    "JOIN lex x ON x.lang = c.lang AND x.word = a JOIN lex y ON y.lang = c.lang AND y.word = b GROUP BY c.lang, c.word), "
+    "d4 AS (SELECT d3.*, top.d AS raw_d, coalesce(raw, []) AS raw, dd, domain, ties, splits, heads, regexp_extract(d3.word, '^(.*?[a-z])[A-Z]', 1) AS camel FROM d3 LEFT JOIN top ON top.lang = d3.lang AND top.word = d3.word LEFT JOIN dt ON dt.word = d3.word LEFT JOIN cs ON cs.lang = d3.lang AND cs.word = d3.word), "
+    "d5 AS (SELECT *, CASE WHEN step IS NOT NULL THEN step WHEN ties = 1 AND dd < coalesce(raw_d, 99) THEN 'domain word' WHEN raw_d <= 2 THEN 'near word' "
+    "WHEN length(camel) >= 4 AND length(word) - length(camel) >= 4 AND list_contains(heads, lower(camel)) THEN 'camel split' WHEN word = low AND len(splits) = 1 THEN 'compound split' ELSE 'open' END AS decided FROM d4), "
+    "vd AS MATERIALIZED (SELECT lang, word, decided AS step, decided <> 'open' AS confident, CASE decided WHEN 'real word' THEN [real_fix] WHEN 'known fix' THEN [known] WHEN 'stray capital' THEN [low] WHEN 'transposition' THEN [swapped] WHEN 'domain word' THEN [domain] "
+    "WHEN 'camel split' THEN [camel || ' ' || substr(word, length(camel) + 1)] WHEN 'compound split' THEN splits ELSE raw END AS suggestions FROM d5)"
+)
+SQL["spell_p20_verdicts"] = f"{_VERDICTS} SELECT lang, word, array_to_string(suggestions, ', ') AS suggestions, confident, step FROM vd"
+SQL["d22_spelling"] = (
+    f"{_VERDICTS}, q AS (SELECT entry_id, list_filter(regexp_extract_all(regexp_replace(v, '\\[[^\\]]*\\]', '#', 'g'), '[A-Za-z]+[\"‘’“”][A-Za-z]+'), lambda x: NOT (x = upper(x) AND x <> lower(x))) AS w FROM sp WHERE lang IN (SELECT lang FROM lex)), "
+    "hits AS (SELECT entry_id, i - 1000001 AS pos, w[i] AS word, regexp_replace(w[i], '[\"‘’“”]', '''', 'g') AS tip FROM q, unnest(range(1, len(w) + 1)) t(i) "
+    "UNION ALL SELECT entry_id, i - 1, vd.word, suggestions[1] FROM tl, unnest(range(1, len(words) + 1)) t(i) JOIN vd ON vd.lang = tl.lang AND vd.word = words[i]) "
+    "SELECT entry_id, CAST(pos AS INTEGER) AS pos, 'Possible misspelling: \"' || word || '\"' || CASE WHEN tip IS NULL THEN '' ELSE ' (did you mean \"' || tip || '\"?)' END AS issue FROM hits"
+)
