@@ -246,7 +246,7 @@ _LABELS = {
 
 
 def _pipeline() -> str:
-    """All structural steps one after another, each on what the one before leaves, with the labels of those that change it."""
+    """Tables up to ``fx``: all structural steps one after another, each on what the one before leaves, with the labels of those that change it."""
     label = "CASE WHEN after <> v THEN list_append(labels, {}) ELSE labels END AS labels"
     out = [E.replace("WITH ", "WITH RECURSIVE ", 1), LISTS, "s0 AS MATERIALIZED (SELECT entry_id, lang_code, v, v AS before, CAST([] AS VARCHAR[]) AS labels FROM e)"]
     for i, (step, name) in enumerate(_LABELS.items(), 1):
@@ -261,7 +261,8 @@ def _pipeline() -> str:
         "r AS (SELECT entry_id, v, v AS old, before, labels, 0 AS k FROM t0 UNION ALL SELECT entry_id, CASE WHEN contains(lower(v), wrong) THEN "
         f"regexp_replace(regexp_replace(v, {whole}), {whole}) ELSE v END, old, before, labels, n.k FROM r JOIN n ON n.k = r.k + 1)"
     )
-    return ", ".join(out) + f" SELECT entry_id, v AS fixed, array_to_string(CASE WHEN v <> old THEN list_append(labels, {s(K.L_GLOSSARY)}) ELSE labels END, '; ') AS labels FROM r WHERE k = (SELECT max(k) FROM n) AND (v <> old OR len(labels) > 0)"
+    out.append(f"fx AS MATERIALIZED (SELECT entry_id, before, v AS fixed, CASE WHEN v <> old THEN list_append(labels, {s(K.L_GLOSSARY)}) ELSE labels END AS labels FROM r WHERE k = (SELECT max(k) FROM n))")
+    return ", ".join(out)
 
 
 def _counts() -> str:
@@ -272,7 +273,7 @@ def _counts() -> str:
     return f"SELECT entry_id, {sums} FROM ({' UNION ALL '.join(parts)}) q GROUP BY entry_id"
 
 
-SQL["fix_steps"] = _pipeline()
+SQL["fix_steps"] = f"{_pipeline()} SELECT entry_id, fixed, array_to_string(labels, '; ') AS labels FROM fx WHERE len(labels) > 0"
 SQL["detect_counts"] = _counts()
 
 _FIXES = lambda words: ", ".join(f"({s(a)}, {s(b)})" for a, b in words.items())
@@ -280,12 +281,13 @@ _REST = " UNION ALL ".join(f"SELECT lang, word, substr(low, {len(p) + 1}) AS for
 _REGION = " UNION ALL ".join(
     f"SELECT lang, word, left(low, length(low) - {len(x)}) || {s(y)} FROM o WHERE ends_with(low, {s(x)})" for a, b in K.SUFFIX_PAIRS for x, y in ((a, b), (b, a))
 )
-#: The spelling cascade over the words of the languages that have a dictionary, decision by decision.
-_VERDICTS = (
-    f"{E}, {CUSTOM}, {GLOSSARY}, sp AS (SELECT entry_id, lang_code AS lang, v FROM e WHERE lang_code IN (SELECT code FROM languages WHERE has_speller)), "
-    "lex AS MATERIALIZED (SELECT lang, word, count(*) AS freq FROM (SELECT lang, unnest(regexp_extract_all(lower(v), '[a-z'']+')) AS word FROM sp) q WHERE length(word) >= 2 GROUP BY lang, word HAVING count(*) >= 5), "
+#: Entries in the languages that have a dictionary, from which lexicons are made.
+_SPOKEN = "sx AS (SELECT entry_id, lang_code AS lang, v FROM e WHERE lang_code IN (SELECT code FROM languages WHERE has_speller))"
+#: The spelling cascade over the words of ``sp`` (entry_id, lang, v), decision by decision, and the hits of every value.
+_CASCADE = (
+    "lex AS MATERIALIZED (SELECT lang, word, count(*) AS freq FROM (SELECT lang, unnest(regexp_extract_all(lower(v), '[a-z'']+')) AS word FROM sx) q WHERE length(word) >= 2 GROUP BY lang, word HAVING count(*) >= 5), "
     "tl AS (SELECT entry_id, lang, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(v, '\\[[^\\]]*\\]', '#', 'g'), '[A-Za-z]+[\"‘’“”][A-Za-z]+', '#', 'g'), '[A-Za-z'']+'), lambda x: regexp_replace(x, '^''+|''+$', '', 'g')), "
-    "lambda x: length(x) >= 3 AND NOT (x = upper(x) AND x <> lower(x)) AND NOT regexp_full_match(x, '[A-Za-z]*[a-z]ID')) AS words FROM sp), "
+    "lambda x: length(x) >= 3 AND NOT (x = upper(x) AND x <> lower(x)) AND NOT regexp_full_match(x, '[A-Za-z]*[a-z]ID')) AS words FROM sp WHERE lang IN (SELECT lang FROM lex)), "
     f"skip AS (SELECT word || unnest({['', *K.INFLECTIONS]}) AS low FROM (SELECT word FROM custom UNION SELECT wrong FROM g) q), "
     "o AS MATERIALIZED (SELECT DISTINCT lang, word, lower(word) AS low FROM (SELECT lang, unnest(words) AS word FROM tl) q WHERE lower(word) NOT IN (SELECT low FROM skip) AND lower(word) <> 'cancelled'), "
     f"rw AS (SELECT * FROM (VALUES {_FIXES(K.REAL_WORDS)}) t(low, fix)), kf AS (SELECT * FROM (VALUES {_FIXES(K.CONTRACTIONS | K.TYPOS)}) t(low, fix)), "
@@ -306,10 +308,68 @@ _VERDICTS = (
     "vd AS MATERIALIZED (SELECT lang, word, decided AS step, decided <> 'open' AS confident, CASE decided WHEN 'real word' THEN [real_fix] WHEN 'known fix' THEN [known] WHEN 'stray capital' THEN [low] WHEN 'transposition' THEN [swapped] WHEN 'domain word' THEN [domain] "
     "WHEN 'camel split' THEN [camel || ' ' || substr(word, length(camel) + 1)] WHEN 'compound split' THEN splits ELSE raw END AS suggestions FROM d5)"
 )
+_CASCADE += (
+    ", qh AS (SELECT entry_id, list_filter(regexp_extract_all(regexp_replace(v, '\\[[^\\]]*\\]', '#', 'g'), '[A-Za-z]+[\"‘’“”][A-Za-z]+'), lambda x: NOT (x = upper(x) AND x <> lower(x))) AS w FROM sp WHERE lang IN (SELECT lang FROM lex)), "
+    "hits AS MATERIALIZED (SELECT entry_id, i - 1000001 AS pos, w[i] AS word, regexp_replace(w[i], '[\"‘’“”]', '''', 'g') AS tip, true AS confident FROM qh, unnest(range(1, len(w) + 1)) t(i) "
+    "UNION ALL SELECT entry_id, i - 1, vd.word, suggestions[1], confident FROM tl, unnest(range(1, len(words) + 1)) t(i) JOIN vd ON vd.lang = tl.lang AND vd.word = words[i])"
+)
+_WHOLE_WORD = f"'(^|{N})' || regexp_escape(word) || '({N}|$)', '\\1' || new || '\\2', 'g'"
+_SPELLED = (
+    "hh AS MATERIALIZED (SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY pos, word) AS k, word, CASE WHEN word = upper(word) AND word <> lower(word) THEN upper(tip) "
+    "WHEN left(word, 1) <> lower(left(word, 1)) AND substr(word, 2) = lower(substr(word, 2)) AND substr(word, 2) <> upper(substr(word, 2)) THEN upper(left(tip, 1)) || lower(substr(tip, 2)) "
+    "WHEN word = lower(word) AND word <> upper(word) THEN lower(tip) ELSE tip END AS new FROM hits WHERE confident AND tip IS NOT NULL), "
+    f"rr AS (SELECT entry_id, v, 0 AS k FROM sp UNION ALL SELECT rr.entry_id, regexp_replace(regexp_replace(v, {_WHOLE_WORD}), {_WHOLE_WORD}), hh.k FROM rr JOIN hh ON hh.entry_id = rr.entry_id AND hh.k = rr.k + 1), "
+    "sl AS MATERIALIZED (SELECT entry_id, arg_max(v, k) AS spelled FROM rr GROUP BY entry_id)"
+)
+_VERDICTS = f"{E.replace('WITH ', 'WITH RECURSIVE ', 1)}, {CUSTOM}, {GLOSSARY}, {_SPOKEN}, sp AS (SELECT * FROM sx), {_CASCADE}"
 SQL["spell_p20_verdicts"] = f"{_VERDICTS} SELECT lang, word, array_to_string(suggestions, ', ') AS suggestions, confident, step FROM vd"
-SQL["d22_spelling"] = (
-    f"{_VERDICTS}, q AS (SELECT entry_id, list_filter(regexp_extract_all(regexp_replace(v, '\\[[^\\]]*\\]', '#', 'g'), '[A-Za-z]+[\"‘’“”][A-Za-z]+'), lambda x: NOT (x = upper(x) AND x <> lower(x))) AS w FROM sp WHERE lang IN (SELECT lang FROM lex)), "
-    "hits AS (SELECT entry_id, i - 1000001 AS pos, w[i] AS word, regexp_replace(w[i], '[\"‘’“”]', '''', 'g') AS tip FROM q, unnest(range(1, len(w) + 1)) t(i) "
-    "UNION ALL SELECT entry_id, i - 1, vd.word, suggestions[1] FROM tl, unnest(range(1, len(words) + 1)) t(i) JOIN vd ON vd.lang = tl.lang AND vd.word = words[i]) "
-    "SELECT entry_id, CAST(pos AS INTEGER) AS pos, 'Possible misspelling: \"' || word || '\"' || CASE WHEN tip IS NULL THEN '' ELSE ' (did you mean \"' || tip || '\"?)' END AS issue FROM hits"
+_ISSUE = "'Possible misspelling: \"' || word || '\"' || CASE WHEN tip IS NULL THEN '' ELSE ' (did you mean \"' || tip || '\"?)' END AS issue"
+SQL["d22_spelling"] = f"{_VERDICTS} SELECT entry_id, CAST(pos AS INTEGER) AS pos, {_ISSUE} FROM hits"
+SQL["f18_spelling"] = f"{_VERDICTS}, {_SPELLED} SELECT entry_id, spelled AS after FROM sl JOIN e USING (entry_id) WHERE spelled <> v"
+
+
+def _corrected(lang: str) -> str:
+    """Tables up to ``al`` (entry_id, before, fixed, labels): all steps with spelling last, in the language given by an expression."""
+    label = f"CASE WHEN spelled <> fixed THEN list_append(labels, {s(K.L_SPELLING)}) ELSE labels END AS labels"
+    return (
+        f"{_pipeline()}, {_SPOKEN}, sp AS (SELECT entry_id, {lang} AS lang, fixed AS v FROM fx JOIN e USING (entry_id)), {_CASCADE}, {_SPELLED}, "
+        f"al AS MATERIALIZED (SELECT entry_id, before, coalesce(spelled, fixed) AS fixed, {label} FROM fx LEFT JOIN sl USING (entry_id))"
+    )
+
+
+_ENGLISH_FIXES = _corrected("'en'")
+_DIFFS = "SELECT entry_id, line, key, before, fixed AS after, array_to_string(labels, '; ') AS categories FROM al JOIN e USING (entry_id) WHERE len(labels) > 0"
+SQL["q1_differences"] = f"{_ENGLISH_FIXES} {_DIFFS}"
+SQL["u2_diff_report"] = (
+    f"{_ENGLISH_FIXES} SELECT file, line, key, 'auto-fixed' AS type, array_to_string(labels, '; ') AS categories_or_category, before AS before_or_issue, fixed AS after FROM al JOIN e USING (entry_id) WHERE len(labels) > 0 "
+    f"UNION ALL SELECT file, line, key, 'needs-review', 'Grammar', unnest({REPEATED_TEXT}), '' FROM e"
+)
+SQL["a1_run_stats"] = (
+    f"{_ENGLISH_FIXES}, du AS (SELECT file, count(*) AS duplicates FROM ({SQL['k3_duplicates']}) q GROUP BY file) "
+    f"SELECT file, count(*) AS total, count(*) FILTER (WHERE len(labels) > 0) AS auto_fixed, CAST(sum(len({REPEATED_TEXT})) AS BIGINT) AS flagged, any_value(coalesce(duplicates, 0)) AS duplicates FROM al JOIN e USING (entry_id) LEFT JOIN du USING (file) GROUP BY file"
+)
+#: Routed entries: the fixes in the language of the file, issues of the value as it stands.
+_ROUTED = (
+    f"{_corrected('lang_code')}, iss AS ({SQL['detect_counts']}), sps AS (SELECT entry_id, count(*) AS n_spelling FROM ({SQL['d22_spelling']}) q GROUP BY entry_id), "
+    "cn AS (SELECT e.entry_id, file, line, lang_code, v, before, fixed, labels, coalesce(n_grammar, 0) AS n_grammar, coalesce(n_terminology, 0) AS n_terminology, coalesce(n_spacing, 0) AS n_spacing, coalesce(n_spelling, 0) AS n_spelling "
+    "FROM e JOIN al USING (entry_id) LEFT JOIN iss USING (entry_id) LEFT JOIN sps USING (entry_id)), "
+    "ro AS MATERIALIZED (SELECT *, CASE greatest(n_spelling, n_grammar, n_terminology, n_spacing) WHEN 0 THEN NULL WHEN n_spelling THEN 'Spelling' WHEN n_grammar THEN 'Grammar' WHEN n_terminology THEN 'Terminology' ELSE 'Spacing' END AS category FROM cn)"
+)
+SQL["q3_report"] = (
+    f"{_ROUTED} SELECT entry_id, file, line, lang_code, category, n_grammar, n_terminology, n_spacing, CASE WHEN fixed = before THEN '(needs manual review - no confident auto-suggestion)' ELSE fixed END AS suggested, array_to_string(labels, '; ') AS changes_applied FROM ro"
+)
+SQL["q7_clean"] = f"{_ROUTED} SELECT entry_id, v AS value FROM ro WHERE category IS NULL"
+_STATS = (
+    f"{_ROUTED}, du AS (SELECT file, count(*) AS duplicates FROM ({SQL['k3_duplicates']}) q GROUP BY file), st AS (SELECT file, lang_code, coalesce(name, 'Unknown') AS lang_name, CASE lang_code WHEN 'unknown' THEN 'unknown' ELSE 'filename' END AS detection, count(*) AS total, "
+    "count(*) FILTER (WHERE category = 'Spelling') AS spelling, count(*) FILTER (WHERE category = 'Grammar') AS grammar, count(*) FILTER (WHERE category = 'Terminology') AS terminology, count(*) FILTER (WHERE category = 'Spacing') AS spacing, "
+    "count(*) FILTER (WHERE category IS NULL) AS clean, any_value(coalesce(duplicates, 0)) AS duplicates FROM ro LEFT JOIN languages ON code = lang_code LEFT JOIN du USING (file) GROUP BY file, lang_code, name)"
 )
+SQL["a2_file_stats"] = f"{_STATS} SELECT * FROM st"
+SQL["a2_category_pivot"] = f'{_STATS} SELECT file, spelling AS "Spelling", grammar AS "Grammar", terminology AS "Terminology", spacing AS "Spacing", clean AS "Clean" FROM st'
+_METRICS = (
+    ("File", "file"), ("Detected language", "lang_name || ' (' || lang_code || ')'"), ("Language detection method", "detection"), ("Total strings", "CAST(total AS VARCHAR)"),
+    ("Sheet assignment", "'Each string appears in exactly ONE sheet - priority: Spelling > Grammar > Terminology > Spacing'"), ("Spelling issues", "CAST(spelling AS VARCHAR)"),
+    ("Grammar issues", "CAST(grammar AS VARCHAR)"), ("Terminology issues", "CAST(terminology AS VARCHAR)"), ("Spacing issues", "CAST(spacing AS VARCHAR)"),
+    ("Duplicate keys", "CAST(duplicates AS VARCHAR)"), ("Clean strings (no issues in any category)", "CAST(clean AS VARCHAR)"), ("LanguageTool server used", "'no - spelling sheet incomplete'"),
+)
+SQL["q8_summary"] = f"{_STATS} " + " UNION ALL ".join(f"SELECT file, CAST({i} AS INTEGER) AS ord, {s(name)} AS metric, {value} AS value FROM st" for i, (name, value) in enumerate(_METRICS, 1))
