@@ -1,6 +1,6 @@
 """Helpers that shape physical plans: staged tables, hot keys, bounded broadcasts."""
 
 from glyphmill.plans.barrier import keep
-from glyphmill.plans.staging import shared_dir, stage, write_stage
+from glyphmill.plans.staging import drop_stages, shared_dir, stage, write_stage
 
-__all__ = ["keep", "shared_dir", "stage", "write_stage"]
+__all__ = ["drop_stages", "keep", "shared_dir", "stage", "write_stage"]
