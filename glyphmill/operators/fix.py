@@ -52,7 +52,8 @@ def missing_space(v: Column, c: Context) -> Column:
 def comma_case(v: Column, c: Context) -> Column:
     # one alternation over the words, found by their capital; the run of space becomes one space
     words = "|".join(w.capitalize() for w in K.CONTINUATIONS)
-    return rebuild(v, f",{K.WS}+(?:{words}){AFTER}", lambda t: F.concat(F.lit(", "), F.lower(F.regexp_extract(t, "[A-Za-z]+$", 0))))
+    pattern = f",{K.WS}+(?:{words}){AFTER}"
+    return F.when(v.rlike(pattern), rebuild(v, pattern, lambda t: F.concat(F.lit(", "), F.lower(F.regexp_extract(t, "[A-Za-z]+$", 0))))).otherwise(v)
 
 
 def space_before_stop(v: Column, c: Context) -> Column:

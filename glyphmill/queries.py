@@ -14,7 +14,7 @@ from glyphmill.operators.detect import RULES, Context, detect, issues_of
 from glyphmill.operators.duplicates import duplicates, first_seen
 from glyphmill.operators.fix import STEPS, fix, step_changes
 from glyphmill.operators.report import column_widths, diff_report, differences, duplicate_rows, file_stats, flags, full_report, glossary_keys, routed, run_stats, spelling_notes, summary
-from glyphmill.plans import keep, stage
+from glyphmill.plans import keep, spread, stage
 from glyphmill.sources.resources import detect_language, entries, fuzzy_words, glossary_pairs, language_code, line_parts, mixed_case_words, word_list
 from glyphmill.sources.sinks import output_name, rewritten_lines
 
@@ -49,7 +49,7 @@ def codes_of(spark: SparkSession, d: str) -> list[str]:
 def entry_rows(spark: SparkSession, d: str) -> DataFrame:
     """Entries with the language of their file."""
     codes = codes_of(spark, d)
-    rows = table(spark, d, "parse_entries").select("entry_id", "file", "line", "key", "value")
+    rows = spread(table(spark, d, "parse_entries").select("entry_id", "file", "line", "key", "value"))
     return rows.withColumn("lang_code", language_code(F.col("file"), codes))
 
 
