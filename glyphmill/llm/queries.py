@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    from glyphmill.plans import spread
+
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
